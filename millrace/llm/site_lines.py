@@ -11,42 +11,63 @@ all lines nor a menu on all its pages gathers in one task. The join back to the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, salted
+from . import textkernel as tk
 
 SHINGLE, BANDS, ROWS = 5, 4, 4
 SALTS = 16
 
-
-def letters_of(line: Column) -> Column:
-    return F.lower(F.regexp_replace(line, r"[^\p{L}]+", ""))
-
-
-def masked(line: Column) -> Column:
-    """The line's words, lower-cased, with numbers, dates and capitalised words after the first one masked."""
-    names = F.regexp_replace(line, r"(?<=[\p{L}\p{N},;:|/]\s)\p{Lu}[\p{Ll}\p{M}'’-]+", "~")
-    plain = F.lower(F.regexp_replace(names, r"\p{N}[\p{N}.,:/-]*", "#"))
-    words = F.regexp_replace(plain, r"[^\p{L}~#]+", " ")
-    return F.trim(F.regexp_replace(words, r"(~ ?)+", "~ "))
-
-
-def _shingles(text: Column) -> Column:
-    words = F.split(text, " ")
-    return F.when(F.size(words) < SHINGLE, F.array(F.xxhash64(text))).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - SHINGLE + 1),
-            lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")),
+_hashes = tk.MaskedHashes()
+
+
+def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with letters: their number, exact key, and the keys of their buckets."""
+    find = tk.letter_runs().findall
+    for b in batches:
+        rows, numbers, words, exact, starts = [], [], [], [], []
+        for i, text in enumerate(b.column("text").to_pylist()):
+            if text:
+                for n, line in enumerate(text.split("\n")):
+                    own = find(line)
+                    if own:
+                        rows.append(i)
+                        numbers.append(n)
+                        words.append(own)
+                        starts.append(tk.hash64(own[0].lower()))
+                        exact.append(tk.hash64("".join(own).lower()))
+        every, begins = tk.flat(words)
+        hashes = np.fromiter(map(_hashes.__getitem__, every), np.uint64, len(every))
+        hashes[begins[:-1]] = np.array(starts, np.uint64)  # a line's first word is capitalised anyway
+        values, at = tk.shingles(hashes, begins, SHINGLE)
+        least = tk.minhash(values, at, BANDS * ROWS)
+        keys = np.empty((len(rows), BANDS + 2), np.uint64)
+        keys[:, 0] = np.array(exact, np.uint64)
+        keys[:, 1] = tk.mix(np.add.reduceat(tk.mix(values), at[:-1])) if rows else 0
+        for band in range(BANDS):
+            h = np.full(len(rows), band + 1, np.uint64)
+            for r in range(ROWS):
+                h = tk.mix(h ^ least[:, band * ROWS + r]) + np.uint64(r)
+            keys[:, band + 2] = h
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column("block_id").take(take),
+                b.column("page_id").take(take),
+                pa.array(numbers, pa.int32()),
+                pa.array(tk.signed(keys[:, 0].copy())),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (BANDS + 2)), pa.array(tk.signed(keys.reshape(-1)))
+                ),
+            ],
+            names=["block_id", "page_id", "line_no", "letters", "keys"],
         )
-    )
-
-
-def _bands() -> list[Column]:
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(seed))))
-
-    return [F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)]
 
 
 def site_lines(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -55,23 +76,15 @@ def site_lines(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     A line's site is its page's ``source_id``; lines of pages that are missing or have no site are left out.
     """
     site = pages.select(F.col("id").alias("page_id"), "source_id").filter("source_id is not null").dropDuplicates(["page_id"])
-    lines = blocks.select(F.col("id").alias("block_id"), "page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("block_id", "page_id", "line_no", letters_of(F.col("line")).alias("letters"), masked(F.col("line")).alias("masked"))
-    lines = lines.filter(F.length("letters") > 0).withColumn("shingles", _shingles(F.col("masked")))
-    lines = lines.select(
-        "block_id",
-        "page_id",
-        "line_no",
-        F.xxhash64("letters").alias("letters"),
-        F.array_distinct(F.array(F.xxhash64("letters"), F.xxhash64("masked"), *_bands())).alias("bands"),
-    )
+    lines = blocks.select(F.col("id").alias("block_id"), "page_id", "text")
+    lines = lines.mapInArrow(_line_features, "block_id string, page_id string, line_no int, letters long, keys array<long>")
     return lines.join(site, "page_id").select(
         "block_id",
         "line_no",
         "source_id",
         F.xxhash64("page_id").alias("page"),
         F.xxhash64("source_id", "letters").alias("line_key"),
-        F.transform("bands", lambda x: F.xxhash64("source_id", x)).alias("buckets"),
+        F.transform("keys", lambda x: F.xxhash64("source_id", x)).alias("buckets"),
     )
 
 
