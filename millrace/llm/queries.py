@@ -8,11 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import site_lines, splitting, tokens
+from . import languages, near_pages, residue, site_lines, splitting, tokens
 
 WS = r"[\s\x0B\x{85}\p{Z}]"
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    model = languages.fit(table(spark, sf, "language_samples"))
+    return languages.label_cases(table(spark, sf, "pages"), table(spark, sf, "page_blocks"), model)
+
+
+def p1_pages(spark: SparkSession, sf: str) -> DataFrame:
+    model = languages.fit(table(spark, sf, "language_samples"))
+    return languages.infer_languages(table(spark, sf, "page_blocks"), model)[0]
+
+
+def p1_passages(spark: SparkSession, sf: str) -> DataFrame:
+    model = languages.fit(table(spark, sf, "language_samples"))
+    return languages.infer_languages(table(spark, sf, "page_blocks"), model)[1]
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     pieces = p2_pieces(spark, sf)
     return pieces.filter("piece_no = 0").select("item_key", "forced")
@@ -34,6 +49,18 @@ def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     return site_lines.remove_lines(blocks.dropDuplicates(["id"]), found).select("id", "text", "removed_lines")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_pages.near_page_pairs(table(spark, sf, "page_blocks"))
+
+
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return near_pages.page_classes(table(spark, sf, "page_blocks"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.find_residue(residue.searched_texts(table(spark, sf, "pages"), table(spark, sf, "scrapped_pages")))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
@@ -43,7 +70,7 @@ def p7_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_clean, p7_ids, p7_text)
+    f.__name__: f for f in (p1_found, p1_pages, p1_passages, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_classes, p6_found, p7_ids, p7_text)
 }
 
 SQL: dict[str, str] = {
@@ -73,5 +100,14 @@ SQL: dict[str, str] = {
             select source_id, letters from k where letters <> '' group by 1, 2 having count(distinct page_id) >= 8
         )
         select block_id, cast(line_no as int) as line_no from k join f using (source_id, letters)""",
+    "p4_found": r"""
+        with b as (select distinct id, page_id, ord, text from page_blocks),
+        p as (select page_id, string_agg(text, chr(10) order by ord, id) as text from b group by 1),
+        w as (select page_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from p),
+        s as (select distinct page_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) as run from w where len(w) > 2),
+        n as (select page_id, count(*) as n from s group by 1),
+        m as (select a.page_id as page_id_a, b.page_id as page_id_b, count(*) as n_both from s a join s b on a.run = b.run and a.page_id < b.page_id group by 1, 2)
+        select page_id_a, page_id_b from m join n x on x.page_id = page_id_a join n y on y.page_id = page_id_b
+        where n_both * 10 >= 7 * greatest(x.n, y.n)""",
     "p7_text": "select doc_id, coalesce(text, '') as text from documents",
 }
