@@ -2,8 +2,8 @@
 
 A page is the set of its distinct runs of three words. Two pages belong together when they share at least
 ``share`` of either set. The join is an exact prefix filter: under one fixed order of all runs, rare ones first,
-two such pages must share one of the first ``n - ceil(share * n) + 1`` runs of each. Only these meet in the
-shuffle; the pairs that meet are then compared in full, so nothing is lost and nothing is guessed.
+two such pages must share ``k`` of the first ``n - ceil(share * n) + k`` runs of each. Only these meet in the
+shuffle; the pairs that share enough are then compared in full, so nothing is lost and nothing is guessed.
 
 The order comes from a count sketch of fixed size over all pages. It keeps stock phrases, which stand on a large
 part of all pages, out of the prefixes; any order gives the same result, a bad one only more work.
@@ -27,20 +27,34 @@ from . import textkernel as tk
 RUN = 3
 #: Counters in each of the sketch's two rows; fixed, so that its broadcast is bounded.
 SKETCH = 1 << 16
+#: Runs that two prefixes must share. Prefixes are longer by as many, so that similar sets always do.
+SHARED = 8
 
 _hashes = tk.Hashes()
 
 
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's words as 32-bit hashes: what has to travel of its text."""
+    find = tk.word_runs().findall
+    for b in batches:
+        every, begins = tk.flat([find(t) if t else [] for t in b.column("text").to_pylist()])
+        h = np.fromiter(map(_hashes.__getitem__, every), np.uint64, len(every))
+        words = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("page_id", "ord", "id")] + [words], names=["page_id", "ord", "id", "words"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by page and order, to one row a page with its sorted set of hashed runs."""
-    find = tk.word_runs().findall
 
-    def rows(pages: list[str], words: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+    def rows(pages: list[str], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        joined = [np.concatenate([np.zeros(0, np.int32), *p]) for p in parts]
+        begins = np.concatenate([[0], np.cumsum([len(p) for p in joined])]).astype(np.int64)
+        words = np.concatenate([np.zeros(0, np.int32), *joined]).view(np.uint32).astype(np.uint64)
         values, at = tk.shingles(words, begins, RUN)
         long = np.diff(begins) >= RUN
         own = np.repeat(np.arange(len(pages)), np.diff(at))
         small = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        order = np.lexsort((small, own))
+        order = np.argsort(own.astype(np.int64) << 32 | small.view(np.uint32), kind="stable")
         own, small = own[order], small[order]
         keep = np.ones(len(own), bool)
         keep[1:] = (own[1:] != own[:-1]) | (small[1:] != small[:-1])
@@ -56,24 +70,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["page_id", "sig", "n", "runs"],
         )
 
-    open_page, open_words, last = None, [], None
+    open_page, own, last = None, [], None
     for b in batches:
         pages, parts = [], []
-        for page, block, text in zip(*(b.column(k).to_pylist() for k in ("page_id", "id", "text"))):
+        lists = b.column("words")
+        cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for i, (page, block) in enumerate(zip(b.column("page_id").to_pylist(), b.column("id").to_pylist())):
             if page != open_page:
                 if open_page is not None:
                     pages.append(open_page)
-                    parts.append(open_words)
-                open_page, open_words, last = page, [], None
-            if block != last and text:
-                open_words += find(text)
+                    parts.append(own)
+                open_page, own, last = page, [], None
+            if block != last or block is None:
+                own.append(values[cuts[i] : cuts[i + 1]])
             last = block
         if pages:
-            every, begins = tk.flat(parts)
-            yield rows(pages, np.fromiter(map(_hashes.__getitem__, every), np.uint64, len(every)), begins)
+            yield rows(pages, parts)
     if open_page is not None:
-        every, begins = tk.flat([open_words])
-        yield rows([open_page], np.fromiter(map(_hashes.__getitem__, every), np.uint64, len(every)), begins)
+        yield rows([open_page], [own])
 
 
 def _slots(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,29 +118,25 @@ def _prefixes(counts, tenths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = counts.value
         for b in batches:
-            lists = b.column("runs")
-            runs, n = lists.flatten().to_numpy(), b.column("n").to_numpy()
-            if not len(runs):
-                continue
+            runs, n = b.column("runs").flatten().to_numpy(), b.column("n").to_numpy()
             own = np.repeat(np.arange(len(n)), n)
             s, t = _slots(runs)
             order = np.lexsort((runs, np.minimum(rows[0][s], rows[1][t]), own))
-            begins = np.cumsum(n) - n
-            place = np.arange(len(runs)) - np.repeat(begins, n)
-            keep = place < np.repeat(n - (tenths * n + 9) // 10 + 1, n)
-            at = own[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[order][keep]), b.column("sig").take(pa.array(at)), b.column("n").take(pa.array(at)),
-                 pa.array(place[keep].astype(np.int32))],
-                names=["run", "sig", "n", "place"],
-            )
+            place = np.arange(len(runs)) - np.repeat(np.cumsum(n) - n, n)
+            need = (tenths * n + 9) // 10
+            sizes = n - need + np.minimum(SHARED, need)
+            keep = place < np.repeat(sizes, n)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            first = pa.ListArray.from_arrays(pa.array(ends), pa.array(runs[order][keep]))
+            yield pa.RecordBatch.from_arrays([b.column("sig"), b.column("n"), first], names=["sig", "n", "first"])
 
     return run
 
 
 def page_sets(blocks: DataFrame) -> DataFrame:
     """(page_id, sig, n, runs): each page's set of hashed runs of three words; equal sets have equal ``sig``."""
-    ordered = blocks.select("page_id", "ord", "id", "text").filter("page_id is not null")
+    words = blocks.select("page_id", "ord", "id", "text").filter("page_id is not null")
+    ordered = words.mapInArrow(_block_words, "page_id string, ord int, id string, words array<int>")
     ordered = ordered.repartition("page_id").sortWithinPartitions("page_id", "ord", "id")
     return ordered.mapInArrow(_sets, "page_id string, sig long, n int, runs array<int>").filter("n > 0")
 
@@ -134,17 +144,20 @@ def page_sets(blocks: DataFrame) -> DataFrame:
 def similar_classes(sets: DataFrame, tenths: int = 7) -> DataFrame:
     """(sig_a, sig_b): pairs of different sets that share at least ``tenths`` / 10 of either."""
     counts = sets.sparkSession.sparkContext.broadcast(sketch(sets))
-    short = sets.dropDuplicates(["sig"]).mapInArrow(_prefixes(counts, tenths), "run int, sig long, n int, place int")
-    short = short.repartition("run")
+    short = sets.select("sig", "n", "runs").mapInArrow(_prefixes(counts, tenths), "sig long, n int, first array<int>")
+    short = short.dropDuplicates(["sig"]).select("sig", "n", F.posexplode("first").alias("place", "run")).repartition("run")
     a, b = (short.select("run", *[F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "place")]) for x in "ab")
     most = F.greatest("n_a", "n_b") * tenths
     met = a.join(b, "run").filter((F.col("sig_a") < F.col("sig_b")) & (F.least("n_a", "n_b") * 10 >= most))
-    met = met.filter((F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * 10) >= most)
-    met = materialize(met.select("sig_a", "sig_b").distinct())
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + SHARED - 1
+    met = met.filter(left * 10 >= most).groupBy("sig_a", "sig_b", F.least("n_a", "n_b").alias("n")).agg(F.count("*").alias("shared"))
+    met = met.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * tenths / 10)))
+    met = materialize(met.select("sig_a", "sig_b"))
     need = met.select(F.col("sig_a").alias("sig")).union(met.select(F.col("sig_b").alias("sig"))).distinct()
     whole = sets.join(need, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "runs")
     for x in "ab":
         met = met.join(whole.select(*[F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "runs")]), f"sig_{x}")
+    most = F.greatest("n_a", "n_b") * tenths
     return met.filter(F.size(F.array_intersect("runs_a", "runs_b")) * 10 >= most).select("sig_a", "sig_b")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import languages, near_pages, residue, site_lines, splitting, tokens
+from . import languages, main_body, mixing, near_pages, residue, site_lines, splitting, tokens
 
 WS = r"[\s\x0B\x{85}\p{Z}]"
 
@@ -57,6 +57,12 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_pages.page_classes(table(spark, sf, "page_blocks"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages, scrapes = table(spark, sf, "pages"), table(spark, sf, "scrapped_pages")
+    drop = main_body.furniture_blocks(main_body.page_streams(table(spark, sf, "page_blocks"), scrapes))
+    return drop.join(residue.find_residue(residue.searched_texts(pages, scrapes)), ["page_key", "block_no"], "left_anti")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(residue.searched_texts(table(spark, sf, "pages"), table(spark, sf, "scrapped_pages")))
 
@@ -69,8 +75,16 @@ def p7_text(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.decode_corpus(tokens.encode_corpus(table(spark, sf, "documents")))
 
 
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pages, p1_passages, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_classes, p6_found, p7_ids, p7_text)
+    f.__name__: f for f in (p1_found, p1_pages, p1_passages, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_classes, p5_found, p6_found, p7_ids, p7_text, p8_mix, p8_shares)
 }
 
 SQL: dict[str, str] = {
