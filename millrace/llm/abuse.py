@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,11 @@ _cyrillic = re.compile(r"[Ѐ-ӿ]")
 _latin = re.compile(r"[A-Za-z]")
 
 
+@cache
+def _mixed_scripts() -> re.Pattern:
+    return re.compile(r"[бвгджзийлмнптфцчшщъыьэюя]")
+
+
 def _fold(word: str) -> tuple[str, bool]:
     """The word as it is meant, and whether it was disguised."""
     low = word.lower()
@@ -82,7 +88,7 @@ def _fold(word: str) -> tuple[str, bool]:
     if not body:
         return "#", False
     cyr, lat = len(_cyrillic.findall(low)), len(_latin.findall(low))
-    if cyr and (cyr >= lat or re.search(r"[бвгджзийлмнптфцчшщъыьэюя]", low)):
+    if cyr and (cyr >= lat or _mixed_scripts().search(low)):
         out = low.translate(_CYR_SIGNS).translate(_LIKE)
     else:
         out = low.translate(_SIGNS)
@@ -141,34 +147,55 @@ NAMES = [
 ]
 
 
-def parse(text: str) -> list[tuple[list[str], list[tuple]]]:
-    """The passages of a text: their words and what is known of each."""
-    out = []
-    for part in _passage.split(text):
-        words = _token.findall(part)
-        if words:
-            out.append((words, [_words[w] for w in words]))
+class _Chunks(dict):
+    """What stands between spaces -> (its words, what is known of each, the folded words that are no names, any kind)."""
+
+    def __missing__(self, chunk: str):
+        words = tuple(_token.findall(chunk))
+        known = tuple(_words[w] for w in words)
+        plain = tuple(k[0] for w, k in zip(words, known) if k[0] != "#" and not (w[:1].isupper() and w[1:].islower()))
+        value = (words, known, plain, any(any(k[1:]) for k in known))
+        if len(self) < tk.CACHE_WORDS:
+            self[chunk] = value
+        return value
+
+
+_chunks = _Chunks()
+
+
+def parse(text: str) -> list[list[tuple]]:
+    """The passages of a text, as their chunks; passages without words are left out."""
+    parts = ([_chunks[x] for x in part.split()] for part in _passage.split(text))
+    return [own for p in parts if (own := [c for c in p if c[0]])]
+
+
+def _told(passage: list[tuple]) -> list[str]:
+    """A passage's folded words without names and numbers; the first word is capitalised anyway."""
+    first = passage[0][1][0][0]
+    out = [] if first == "#" or first in passage[0][2] else [first]
+    for c in passage:
+        out += c[2]
     return out
 
 
 def terms(passages: list) -> set[str]:
-    """Folded words and pairs of neighbours, names and numbers left out."""
-    out = set()
-    for words, known in passages:
-        keep = [k[0] for i, (w, k) in enumerate(zip(words, known)) if k[0] != "#" and (i == 0 or not (w[:1].isupper() and w[1:].islower()))]
-        out.update(keep)
-        out.update(f"{a} {b}" for a, b in zip(keep, keep[1:]))
-    return out
+    return {w for p in passages for w in _told(p)}
 
 
 def features(text: str, passages: list, odds: dict[str, float]) -> list[float]:
     """The features of the passage that looks worst, and of the document around it."""
     best, worst, hit = None, -1e9, 0
-    for words, known in passages:
+    for p in passages:
+        told = _told(p)
+        if not any(c[3] for c in p) and odds.keys().isdisjoint(told):
+            if best is None:
+                best = [0.0] * 5 + [20] + [0.0] * 5 + [sum(len(c[0]) for c in p)] + [0.0] * 4
+            continue
+        words = [w for c in p for w in c[0]]
+        known = [k for c in p for k in c[1]]
         n = len(words)
-        ins, sex, thr, grp, sec, calm, dis = (sum(k[j] for k in known) for j in (2, 3, 4, 5, 6, 7, 1))
-        keep = [k[0] for i, (w, k) in enumerate(zip(words, known)) if k[0] != "#" and (i == 0 or not (w[:1].isupper() and w[1:].islower()))]
-        own = [odds.get(x, 0.0) for x in keep] + [odds.get(f"{a} {b}", 0.0) for a, b in zip(keep, keep[1:])]
+        dis, ins, sex, thr, grp, sec, calm = (sum(col) for col in list(zip(*known))[1:])
+        own = [odds[x] for x in told if x in odds]
         up = sorted((v for v in own if v > 0), reverse=True)
         down = sum(v for v in own if v < 0)
         score = 2.0 * (ins + sex + thr) + grp + 0.5 * sec + sum(up[:4]) - calm + 0.3 * down
@@ -180,13 +207,12 @@ def features(text: str, passages: list, odds: dict[str, float]) -> list[float]:
             worst = score
             best = [
                 ins, sex, thr, grp, sec, near, calm, dis, sum(k[1] and (k[2] or k[3] or k[4]) for k in known),
-                sum(w.isupper() and len(w) > 2 for w in words) / n, 0.0, n, up[0] if up else 0.0, sum(up[:6]), len(up) / max(1, len(own)), down,
+                sum(w.isupper() and len(w) > 2 for w in words) / n, 0.0, n, up[0] if up else 0.0, sum(up[:6]), len(up) / n, down,
             ]
     if best is None:
         return [0.0] * len(NAMES)
-    size = max(1, len(text))
-    best[10] = sum(text.count(c) for c in "!?") / size * 100
-    return [float(x) for x in best] + [float(hit), float(any(ord(c) > 0x1F300 for c in text)), hit / len(passages)]
+    best[10] = sum(text.count(c) for c in "!?") / max(1, len(text)) * 100
+    return [float(x) for x in best] + [float(hit), float(not text.isascii() and max(text) > "\U0001f300"), hit / len(passages)]
 
 
 @dataclass

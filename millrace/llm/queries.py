@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import languages, main_body, mixing, near_pages, residue, site_lines, splitting, tokens
+from . import abuse, languages, main_body, mixing, near_pages, residue, site_lines, splitting, tokens
 
 WS = r"[\s\x0B\x{85}\p{Z}]"
 
@@ -83,8 +83,21 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return abuse.score_documents(docs, abuse.fit(docs, table(spark, sf, "review_labels")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_scores(spark, sf).filter("score >= 0.5").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.source_rates(table(spark, sf, "documents"), p9_scores(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pages, p1_passages, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_classes, p5_found, p6_found, p7_ids, p7_text, p8_mix, p8_shares)
+    f.__name__: f for f in (p1_found, p1_pages, p1_passages, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_classes, p5_found, p6_found, p7_ids, p7_text, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)
 }
 
 SQL: dict[str, str] = {
