@@ -143,7 +143,7 @@ def hydrate(hits: DataFrame, blocks: DataFrame, documents: DataFrame, pages: Dat
 
 def one_for_page(hits: DataFrame, score: str = "fusion") -> DataFrame:
     """Of a page's blocks the best one; documents are left alone."""
-    group = F.when(F.col("kind") == "block", F.col("page_id")).otherwise(F.col("key"))
+    group = F.when(F.col("kind") == "block", F.col("page_id").cast("string")).otherwise(F.col("key").cast("string"))
     order = Window.partitionBy("query_id", "kind", group).orderBy(F.col(score).desc(), "key")
     return hits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
@@ -188,18 +188,18 @@ def citations(answers: DataFrame, entries: DataFrame) -> DataFrame:
     return marks.join(entries.select("query_id", "num", "key"), ["query_id", "num"], "left").select("query_id", "place", "num", "key")
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """R15 offline: signed feature hashing of the words, scaled to length one; all zeros for a text without words."""
-    words = tokens(text)
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(dims)))
-    signs = F.transform(words, lambda w: F.when(F.pmod(F.crc32(F.reverse(w)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    pairs = F.arrays_zip(slots.alias("s"), signs.alias("g"))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.when(p["0"] == i, p["1"]).otherwise(0.0)),
+def hashed_embeddings(texts: DataFrame, dims: int = 64) -> DataFrame:
+    """R15 offline: (key, values): signed feature hashing of each text's words, scaled to length one; all zeros for a text
+    without words. Words are summed by slot before anything is gathered, so a long text costs ``dims`` values."""
+    words = texts.select("key", F.explode(tokens(F.col("text"))).alias("w"))
+    sign = F.when(F.pmod(F.crc32(F.reverse("w")), F.lit(2)) == 0, 1).otherwise(-1)
+    slots = words.groupBy("key", F.pmod(F.crc32("w"), F.lit(dims)).cast("int").alias("slot")).agg(F.sum(sign).alias("v"))
+    packed = slots.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    value = F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).otherwise(F.lit(0.0))
     )
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    out = texts.select("key").join(packed.select("key", value.alias("values")), "key", "left")
+    return out.select("key", F.coalesce("values", F.array_repeat(F.lit(0.0), dims)).alias("values"))
 
 
 def extractive_answer(entries: DataFrame) -> DataFrame:

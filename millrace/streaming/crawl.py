@@ -107,7 +107,7 @@ def expired(sent: DataFrame, results: DataFrame, ttl: str = "5 minutes") -> Data
 
 def over_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """Adds ``recent`` (requests of the user in the last minute, this one included) and ``refused``."""
-    at = F.unix_micros("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     span = Window.partitionBy("user_id").orderBy("_at").rangeBetween(-seconds * 1_000_000 + 1, 0)
     return requests.withColumn("_at", at).withColumn("recent", F.count("*").over(span)).withColumn("refused", F.col("recent") > limit).drop("_at")
 
@@ -126,7 +126,7 @@ def sliding_sessions(events: DataFrame, ttl: str = "100 minutes") -> DataFrame:
 def active_queries(queries: DataFrame, minutes: int = 1) -> DataFrame:
     """Adds ``refused``: another query of the user began within the last minute."""
     last = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return queries.withColumn("refused", F.coalesce(F.unix_micros("ts") - F.unix_micros(last) < minutes * 60_000_000, F.lit(False)))
+    return queries.withColumn("refused", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp")) < minutes * 60_000_000, F.lit(False)))
 
 
 def sink(batches: DataFrame, path: str, checkpoint: str, good: str = "size > 0"):
