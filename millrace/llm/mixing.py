@@ -59,6 +59,8 @@ def allocate(node: Node, budget: float, out: dict[str, float], path: str = "") -
 
 def budgets(leaves: list[tuple[tuple[str, ...], str, float, float]], total: float | None = None) -> dict[str, float]:
     """Tokens for each source, from (path of ancestors, source, share, capacity)."""
+    if not leaves:
+        return {}
 
     def tree(capacity) -> Node:
         root = Node("")
