@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.text import STOP, text_density, trim_space, word_count
 
@@ -41,8 +41,14 @@ BAD_IDS = """comment combx contact masthead media meta outbrain promo related sc
 widget social share banner menu advert""".split()
 
 KEYS = ["page_id", "idx"]
-PAGE = Window.partitionBy("page_id")
-ORDER = PAGE.orderBy("idx")
+
+
+def of_page() -> WindowSpec:
+    return Window.partitionBy("page_id")
+
+
+def in_order() -> WindowSpec:
+    return of_page().orderBy("idx")
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
@@ -51,10 +57,10 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
 
 def truncate_tail(blocks: DataFrame) -> DataFrame:
     """everything goes from the first tail heading in the later part of the page."""
-    n = F.count("*").over(PAGE)
+    n = F.count("*").over(of_page())
     cut = (F.col("type") == "heading") & (F.col("idx") >= F.floor(n * F.lit(0.2))) & (F.col("position") >= 0.30)
     cut = cut & contains_any(F.lower(trim_space(F.col("text"))), TAIL_HEADINGS)
-    first = F.min(F.when(cut, F.col("idx"))).over(PAGE)
+    first = F.min(F.when(cut, F.col("idx"))).over(of_page())
     return blocks.withColumn("_cut", first).filter("_cut is null or idx < _cut").drop("_cut")
 
 
@@ -84,7 +90,7 @@ def outside_terminal(blocks: DataFrame) -> DataFrame:
     over the blocks as given, so it belongs before the other filters."""
     heading = F.col("type") == "heading"
     mark = F.when(heading, F.struct(F.coalesce("heading_level", F.lit(0)).alias("level"), is_terminal(F.col("text")).alias("terminal")))
-    before = F.collect_list(mark).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.collect_list(mark).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     walk = F.aggregate(
         F.reverse(before),
         F.struct(F.lit(7).alias("level"), F.lit(False).alias("hit")),
@@ -108,7 +114,7 @@ def filter_blocks(blocks: DataFrame) -> DataFrame:
         & F.col("outside")
         & no_tail_phrase(F.col("text"))
     )
-    return kept.withColumn("idx", F.row_number().over(ORDER) - 1).drop("outside")
+    return kept.withColumn("idx", F.row_number().over(in_order()) - 1).drop("outside")
 
 
 def structure_score(ancestors: Column, html_id: Column, position: Column) -> Column:
@@ -131,7 +137,7 @@ def score_blocks(blocks: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
     """Adds ``score``. Neighbours share half of the score so far, then of their density."""
     own = structure_score(F.col("ancestors"), F.col("html_id"), F.col("position")) + readability(F.col("tag"), F.col("text"))
     out = blocks.withColumn("_s", own).withColumn("_d", text_density(F.col("text"), F.col("link_density"), stop))
-    near = lambda c, f: F.coalesce(f(c).over(ORDER), F.lit(0.0))
+    near = lambda c, f: F.coalesce(f(c).over(in_order()), F.lit(0.0))
     spread = F.col("_s") + 0.5 * near("_s", F.lag) + 0.5 * near("_s", F.lead)
     boost = F.greatest(0.5 * near("_d", F.lag), 0.5 * near("_d", F.lead), F.lit(0.0))
     return out.withColumn("score", F.round(spread + F.col("_d") + boost, 6)).drop("_s", "_d")
@@ -139,20 +145,20 @@ def score_blocks(blocks: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
 
 def page_floors(scored: DataFrame) -> DataFrame:
     """Adds ``floor``, an exact order statistic of the page's positive scores; 0 without any."""
-    m = F.count(F.when(F.col("score") > 0, 1)).over(PAGE)
-    rank = F.when(F.col("score") > 0, F.row_number().over(PAGE.orderBy((F.col("score") > 0).desc(), "score", "idx")) - 1)
+    m = F.count(F.when(F.col("score") > 0, 1)).over(of_page())
+    rank = F.when(F.col("score") > 0, F.row_number().over(of_page().orderBy((F.col("score") > 0).desc(), "score", "idx")) - 1)
     quantile = 0.15 + 0.10 * F.least(F.lit(1.0), m / F.lit(50.0))
     at = F.least(F.floor(m * quantile), m - 1)
     out = scored.withColumn("_r", rank).withColumn("_at", at)
-    return out.withColumn("floor", F.coalesce(F.max(F.when(F.col("_r") == F.col("_at"), F.col("score"))).over(PAGE), F.lit(0.0))).drop("_r", "_at")
+    return out.withColumn("floor", F.coalesce(F.max(F.when(F.col("_r") == F.col("_at"), F.col("score"))).over(of_page()), F.lit(0.0))).drop("_r", "_at")
 
 
 def find_clusters(floored: DataFrame, gap: int = 5) -> DataFrame:
     """(page_id, cluster, first, last, total, floor): runs of blocks at or over the floor that bridge gaps; bridged
     blocks count in the total."""
     over = floored.filter("score >= floor")
-    jump = F.col("idx") - F.lag("idx").over(ORDER) > gap + 1
-    runs = over.withColumn("cluster", F.sum(F.coalesce(jump, F.lit(False)).cast("int")).over(ORDER))
+    jump = F.col("idx") - F.lag("idx").over(in_order()) > gap + 1
+    runs = over.withColumn("cluster", F.sum(F.coalesce(jump, F.lit(False)).cast("int")).over(in_order()))
     runs = runs.groupBy("page_id", "cluster").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.first("floor").alias("floor"))
     return _totals(floored, runs)
 
@@ -166,7 +172,7 @@ def _totals(scored: DataFrame, runs: DataFrame) -> DataFrame:
 def merge_clusters(scored: DataFrame, clusters: DataFrame, distance: int = 8, ratio: float = 0.3) -> DataFrame:
     """C11: neighbours become one where the gap is short and its mean score high enough. Each pair of neighbours decides
     for itself, so a second pass over islands is enough."""
-    by = PAGE.orderBy("first")
+    by = of_page().orderBy("first")
     gaps = clusters.withColumn("_end", F.lag("last").over(by))
     g, s = gaps.alias("g"), scored.select("page_id", "idx", "score").alias("s")
     between = (F.col("s.page_id") == F.col("g.page_id")) & (F.col("s.idx") > F.col("g._end")) & (F.col("s.idx") < F.col("g.first"))
@@ -180,14 +186,14 @@ def merge_clusters(scored: DataFrame, clusters: DataFrame, distance: int = 8, ra
 
 def keep_clusters(clusters: DataFrame, ratio: float = 0.3) -> DataFrame:
     """Clusters with at least this share of the page's best total."""
-    best = F.greatest(F.max("total").over(PAGE), F.lit(0.0))
+    best = F.greatest(F.max("total").over(of_page()), F.lit(0.0))
     return clusters.withColumn("_best", best).filter(F.col("total") >= F.round(F.col("_best") * ratio, 6)).drop("_best")
 
 
 def select_content(scored: DataFrame, kept: DataFrame) -> DataFrame:
     """The blocks of the kept clusters, each with the unbroken run of headings right before it."""
     content = F.when(F.col("type") != "heading", F.col("idx"))
-    last = F.max(content).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max(content).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     marked = scored.withColumn("_after", F.coalesce(last, F.lit(-1)) + 1)
     starts = marked.select("page_id", F.col("idx").alias("first"), F.col("_after").alias("begin"))
     spans = kept.join(starts, ["page_id", "first"]).select("page_id", "begin", "last")

@@ -10,13 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.text import word_count
 
 SHORT, MOST, QUESTION = 30, 300, 40
 FIELDS = ["type", "text", "html_id", "heading_level", "group_idx"]
-ORDER = Window.partitionBy("page_id").orderBy("idx")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("idx")
 
 
 def _fold(blocks: DataFrame, joins: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column]) -> DataFrame:
@@ -67,7 +70,7 @@ def join_siblings(blocks: DataFrame, share: float = 0.4) -> DataFrame:
 def absorb_headings(blocks: DataFrame) -> DataFrame:
     """Headings go before the next content block's text, one to a line; headings at the end are dropped."""
     content = (F.col("type") != "heading").cast("int")
-    group = F.coalesce(F.sum(content).over(ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = F.coalesce(F.sum(content).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     grouped = blocks.withColumn("_g", group).groupBy("page_id", "_g").agg(
         F.array_sort(F.collect_list(F.struct("idx", *FIELDS))).alias("b")
     )
@@ -89,8 +92,8 @@ def pair_questions(blocks: DataFrame) -> DataFrame:
     """A short block that ends with a question mark takes the next block, unless that is a question too."""
     asks = (word_count(F.col("text")) <= QUESTION) & F.trim("text").rlike("[?？]$")
     out = blocks.withColumn("_q", asks)
-    takes = F.col("_q") & ~F.coalesce(F.lead("_q").over(ORDER), F.lit(True))
-    out = out.withColumn("_t", takes).withColumn("_next", F.lead("text").over(ORDER)).withColumn("_gone", F.coalesce(F.lag("_t").over(ORDER), F.lit(False)))
+    takes = F.col("_q") & ~F.coalesce(F.lead("_q").over(in_order()), F.lit(True))
+    out = out.withColumn("_t", takes).withColumn("_next", F.lead("text").over(in_order())).withColumn("_gone", F.coalesce(F.lag("_t").over(in_order()), F.lit(False)))
     out = out.filter("not _gone")
     text = F.when(F.col("_t"), F.concat_ws("\n", "text", "_next")).otherwise(F.col("text"))
     kind = F.when(F.col("_t"), "paragraph").otherwise(F.col("type"))

@@ -184,7 +184,7 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "active_query_guard",
-    "select event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) < 60 * 60000000, false) as refused from events where event_type = 'click'",
+    "select event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) < 3600000000, false) as refused from events where event_type = 'click'",
 )
 def active_query_guard(spark: SparkSession, sf: str) -> DataFrame:
     return T.active_queries(table(spark, sf, "events").filter("event_type = 'click'"), 60).select("event_id", "refused")

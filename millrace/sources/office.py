@@ -94,7 +94,6 @@ def pdf_html(data: bytes) -> str | None:
 READERS = {"docx": docx_html, "xlsx": xlsx_html, "pdf": pdf_html}
 
 
-@F.pandas_udf("html string, error string")
 def _render(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
     rows = []
     for d, k in zip(data, kind):
@@ -107,4 +106,4 @@ def _render(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
 
 def render_documents(files: DataFrame, data: str, kind: Column) -> DataFrame:
     """Adds ``rendered`` (html, error). Broken and unsupported files have an error and no HTML."""
-    return files.withColumn("rendered", _render(F.col(data), kind))
+    return files.withColumn("rendered", F.pandas_udf(_render, "html string, error string")(F.col(data), kind))
