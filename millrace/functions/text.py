@@ -69,15 +69,13 @@ def letter_tokens(text: Column) -> Column:
 
 
 def stop_density(tokens: Column, stop: tuple[str, ...] = STOP) -> Column:
-    """The share of function words; null without tokens."""
-    known = F.array(*[F.lit(w) for w in stop])
-    hits = F.size(F.filter(tokens, lambda w: F.array_contains(known, w)))
+    """The share of function words, looked up in a hash set; null without tokens."""
+    hits = F.size(F.filter(tokens, lambda w: w.isin(*stop)))
     return F.when(F.size(tokens) > 0, hits / F.size(tokens))
 
 
-def text_density(text: Column, link_density: Column, stop: tuple[str, ...] = STOP) -> Column:
-    """C07 behind C06's gate: words to the line, less for links; -2 for text that isn't natural language."""
-    tokens = letter_tokens(text)
+def text_density(text: Column, link_density: Column, tokens: Column, share: Column) -> Column:
+    """C07 behind C06's gate: words to the line, less for links; -2 for text that isn't natural language. The tokens and
+    their share of function words are columns of their own, so that they are worked out once."""
     lines = F.octet_length(text) / F.lit(80.0) + 1
-    share = stop_density(tokens, stop)
     return F.when(share.isNull() | (share < 0.10), F.lit(-2.0)).otherwise(F.size(tokens) / lines * (1 - link_density))

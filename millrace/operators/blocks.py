@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.text import STOP, text_density, trim_space, word_count
+from ..functions.text import STOP, letter_tokens, stop_density, text_density, trim_space, word_count
+from ..runtime import materialize
 
 # Headings from which a page's tail is cut.
 TAIL_HEADINGS = [
@@ -136,7 +137,8 @@ def readability(tag: Column, text: Column) -> Column:
 def score_blocks(blocks: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
     """Adds ``score``. Neighbours share half of the score so far, then of their density."""
     own = structure_score(F.col("ancestors"), F.col("html_id"), F.col("position")) + readability(F.col("tag"), F.col("text"))
-    out = blocks.withColumn("_s", own).withColumn("_d", text_density(F.col("text"), F.col("link_density"), stop))
+    out = blocks.withColumn("_s", own).withColumn("_w", letter_tokens(F.col("text"))).withColumn("_share", stop_density(F.col("_w"), stop))
+    out = out.withColumn("_d", text_density(F.col("text"), F.col("link_density"), F.col("_w"), F.col("_share"))).drop("_w", "_share")
     near = lambda c, f: F.coalesce(f(c).over(in_order()), F.lit(0.0))
     spread = F.col("_s") + 0.5 * near("_s", F.lag) + 0.5 * near("_s", F.lead)
     boost = F.greatest(0.5 * near("_d", F.lag), 0.5 * near("_d", F.lead), F.lit(0.0))
@@ -204,5 +206,5 @@ def select_content(scored: DataFrame, kept: DataFrame) -> DataFrame:
 
 def main_content(blocks: DataFrame) -> DataFrame:
     """The whole chain: filters, scores, floor, clusters, merging, selection."""
-    scored = page_floors(score_blocks(filter_blocks(blocks)))
+    scored = materialize(page_floors(score_blocks(filter_blocks(blocks))))  # four steps read it
     return select_content(scored, keep_clusters(merge_clusters(scored, find_clusters(scored))))

@@ -10,7 +10,7 @@ from ..functions.text import WS, word_count
 from ..operators import blocks as B
 from ..operators import merging as M
 from ..registry import query
-from ..runtime import table
+from ..runtime import materialize, table
 from .text_queries import STOP_SQL, fields_sql, tokens_sql
 from .url_queries import in_list
 
@@ -115,7 +115,7 @@ def block_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("block_clusters", f"with {FLOORED} select page_id, cast(cluster as int) as cluster, cast(first as int) as first, cast(last as int) as last, total from keep")
 def block_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    scored = B.page_floors(B.score_blocks(B.filter_blocks(raw_blocks(spark, sf))))
+    scored = materialize(B.page_floors(B.score_blocks(B.filter_blocks(raw_blocks(spark, sf)))))
     kept = B.keep_clusters(B.merge_clusters(scored, B.find_clusters(scored)))
     return kept.select("page_id", F.col("cluster").cast("int").alias("cluster"), "first", "last", "total")
 

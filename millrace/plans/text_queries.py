@@ -41,11 +41,11 @@ def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
                round(case when share is null or share < 0.10 then -2.0 else len(w) / (strlen(text) / 80.0 + 1) end, 6) as density from d""",
 )
 def stopword_density(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("text is not null")
-    w = T.letter_tokens(F.col("text"))
-    return docs.select(
+    docs = table(spark, sf, "documents").filter("text is not null").withColumn("w", T.letter_tokens(F.col("text")))
+    w = F.col("w")
+    return docs.withColumn("share", T.stop_density(w)).select(
         "doc_id",
         F.size(w).cast("long").alias("tokens"),
-        F.round(T.stop_density(w), 6).alias("share"),
-        F.round(T.text_density(F.col("text"), F.lit(0.0)), 6).alias("density"),
+        F.round("share", 6).alias("share"),
+        F.round(T.text_density(F.col("text"), F.lit(0.0), w, F.col("share")), 6).alias("density"),
     )
