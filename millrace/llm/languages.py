@@ -29,6 +29,8 @@ ROUNDS = 8
 PENALTY = 9.0
 #: Cost of a change of language inside a sentence, and at the end of a sentence, line or quotation.
 INSIDE, AT_END = 11.0, 3.0
+#: Words that the Viterbi pass holds side by side, so that one very long text goes alone.
+SIDE_BY_SIDE = 60_000
 #: Words, over all texts, that a worker keeps likelihoods of.
 CACHE = 300_000
 _ENDS = '.!?…\n«»"“”„:;()[]'
@@ -152,13 +154,14 @@ def _mixture(e: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return share, single, mixed
 
 
-def _passages(e: np.ndarray, lens: np.ndarray, ends: np.ndarray, begins: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+def _passages(e: np.ndarray, ends: np.ndarray, begins: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """The language of every word: Viterbi over each text's accepted languages, many texts side by side."""
     out = np.zeros(len(e), np.int8)
     sizes = np.diff(begins)
-    for group in np.array_split(np.argsort(sizes, kind="stable"), max(1, len(sizes) // 256)):
-        if not len(group):
-            continue
+    order, done = np.argsort(-sizes, kind="stable"), 0
+    while done < len(order):
+        group = order[done : done + max(1, SIDE_BY_SIDE // int(sizes[order[done]]))]
+        done += len(group)
         t_max, b, k = int(sizes[group].max()), len(group), e.shape[1]
         bar = np.where(allowed[group], 0.0, -1e9)
         score = np.zeros((b, k)) + bar
@@ -232,7 +235,7 @@ def _infer(model, least: int):
                     # a language is in the set where its share can't come from chance look-alikes
                     allowed = share[many] * sizes[:, None] > 1.5
                     allowed[np.arange(len(many)), best[many]] = True
-                    state = _passages(em, lm, np.array(ends, bool), own_begins, allowed)
+                    state = _passages(em, np.array(ends, bool), own_begins, allowed)
                     own = np.repeat(np.arange(len(many)), sizes)
                     new = np.ones(len(own), bool)
                     new[1:] = (own[1:] != own[:-1]) | (state[1:] != state[:-1])
