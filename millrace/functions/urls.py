@@ -202,3 +202,8 @@ def anchor_snippet(text: Column, anchor: Column, window: int = 50) -> Column:
     at = F.instr(text, anchor)
     begin = F.greatest(at - window, F.lit(1))
     return F.when(at > 0, F.substring(text, begin, at + F.length(anchor) + window - begin))
+
+
+def followed_once(href: Column) -> Column:
+    """The key of a web link, its URL without the fragment; null for other schemes, so that they are left out."""
+    return F.when(F.lower(href).rlike("^https?://"), F.regexp_replace(href, "#.*$", ""))

@@ -44,3 +44,11 @@ def document_kind(hint: Column) -> Column:
 def parser_for(hint: Column) -> Column:
     """Attached files have their own parser."""
     return F.when((F.coalesce(hint, F.lit("")) != "") & (F.lower(hint) != "html"), "document").otherwise("html")
+
+
+def scrape_responses(renders: DataFrame) -> DataFrame:
+    """(task_id, url, success, html, code, metadata): failures pass on their code, a success without HTML is a parse
+    error, metadata goes through as it is."""
+    failed, empty = ~F.coalesce("success", F.lit(False)), F.trim(F.coalesce("html", F.lit(""))) == ""
+    code = F.when(failed, F.coalesce("code", F.lit("NETWORK_ERROR"))).when(empty, "PARSE_ERROR")
+    return renders.select("task_id", "url", code.isNull().alias("success"), F.when(code.isNull(), F.col("html")).alias("html"), code.alias("code"), "metadata")

@@ -205,3 +205,12 @@ def hashed_embeddings(texts: DataFrame, dims: int = 64) -> DataFrame:
 def extractive_answer(entries: DataFrame) -> DataFrame:
     """R12 offline: the best entry's text with its mark."""
     return entries.filter("num = 1").select("query_id", F.concat(F.regexp_extract("entry", r"(?s)content: (.*)$", 1), F.lit(" [1]")).alias("answer"))
+
+
+def query_guard(text: Column, vector: Column, hits: Column) -> Column:
+    """Why a query can't be answered; null where it can. Nothing is raised for a row."""
+    return (
+        F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "query is blank")
+        .when(F.coalesce(F.size(vector), F.lit(0)) <= 0, "query vector is missing")
+        .when(F.coalesce(hits, F.lit(0)) == 0, "no sources found")
+    )
