@@ -2,18 +2,20 @@
 
 Texts are cut into units: the first sentence of each line, of a title the parts beside the site's name too. In
 a unit, numbers, codes and names are masked. Units that are near-duplicates of trusted residue messages carry
-their label on: SimHash fingerprints meet in partitioned tables, a Hamming distance and the similarity of the
-masked words decide, and labels spread through the connected components until no unit is new. Unfilled
+their label on: units of which any two similar ones share a word of their prefixes are joined on it, the similarity
+of the masked words decides, and labels spread through the connected components until no unit is new. Unfilled
 placeholders and filler words are labelled by their form, unless the sentence writes about templates.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,8 +117,8 @@ __[A-Z][A-Z_.]+__
 ABOUT = """шаблон выражен переменн подстановк плейсхолдер синтаксис вираз змінн template expression placeholder variable syntax
 vorlage platzhalter ausdruck plantilla expresión marcador modèle gabarit szablon wyrażeni zmienn""".split()
 
-TABLES = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-HAMMING, SIMILAR = 12, 0.8
+#: Share of common words, as SIMILAR / DENOMINATOR, from which two units are near-duplicates.
+SIMILAR, DENOMINATOR = 4, 5
 ROUNDS = 20
 
 _placeholder = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS.split("\n") if p))
@@ -126,7 +128,7 @@ _first = re.compile(r"(?<=[.!?…])\s+")
 _code = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
 _word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _hashes = tk.Hashes()
-_NUMBER = tk.hash64("#")
+_NUMBER = (1 << 64) - 1
 _told = frozenset(w.lower() for w in _word.findall(TRUSTED))
 
 
@@ -163,27 +165,18 @@ def _form(text: str) -> bool:
     return False
 
 
-def simhash(words: list[list[int]]) -> np.ndarray:
-    """64-bit SimHash over each list's words and pairs of neighbours."""
-    every, begins = tk.flat(words)
-    h = np.array(every, np.uint64)
-    pairs = tk.mix(h[:-1] * np.uint64(3) ^ h[1:]) if len(h) else h
-    keep = np.ones(len(pairs), bool)
-    keep[begins[1:-1][(begins[1:-1] > 0) & (begins[1:-1] <= len(pairs))] - 1] = False
-    own = np.repeat(np.arange(len(words)), np.diff(begins))
-    values, owner = np.concatenate([tk.mix(h), pairs[keep]]), np.concatenate([own, own[: len(pairs)][keep]])
-    out = np.zeros(len(words), np.uint64)
-    for bit in range(64):
-        up = ((values >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) * 2 - 1
-        out |= (np.bincount(owner, up, len(words)) > 0).astype(np.uint64) << np.uint64(bit)
-    return out
+def _sets(units: list[list[int]]) -> tuple[pa.Array, pa.Array]:
+    """Each unit's id and its distinct words in the order of their hashes, the number that all numbers share last."""
+    own = [sorted(set(u)) for u in units]
+    ids = [xxhash.xxh3_64_intdigest(array("Q", u).tobytes()) for u in own]
+    every, begins = tk.flat(own)
+    words = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(tk.signed(np.array(every, np.uint64))))
+    return pa.array(tk.signed(np.array(ids, np.uint64))), words
 
 
-def _fingerprints(units: list[list[int]]) -> tuple[pa.Array, pa.Array, pa.Array]:
-    sims = simhash(units)
-    ids = [tk.hash64(str(u)) for u in units]
-    lists = pa.array([np.array(u, np.uint64).view(np.int64).tolist() for u in units], pa.list_(pa.int64()))
-    return pa.array(tk.signed(np.array(ids, np.uint64))), pa.array(tk.signed(sims)), lists
+def _head() -> Column:
+    """The first words of a unit, of which two units that are similar share one."""
+    return F.explode(F.expr(f"slice(words, 1, size(words) * {DENOMINATOR - SIMILAR} div {DENOMINATOR} + 1)")).alias("w")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +192,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 units.append(m)
                 forms.append(form)
         at = pa.array(rows, pa.int64())
-        u, s, w = _fingerprints(units)
+        u, w = _sets(units)
         yield pa.RecordBatch.from_arrays(
-            [b.column("page_key").take(at), b.column("block_no").take(at), pa.array(forms, pa.bool_()), u, s, w],
-            names=["page_key", "block_no", "form", "unit", "sim", "words"],
+            [b.column("page_key").take(at), b.column("block_no").take(at), pa.array(forms, pa.bool_()), u, w],
+            names=["page_key", "block_no", "form", "unit", "words"],
         )
 
 
@@ -220,12 +213,6 @@ def searched_texts(pages: DataFrame, scrapes: DataFrame) -> DataFrame:
     )
 
 
-def _tables(units: DataFrame) -> DataFrame:
-    """Each unit once for every table, with the part of its fingerprint that names its bucket."""
-    part = [F.struct(F.lit(t).alias("t"), F.shiftrightunsigned("sim", at).bitwiseAND((1 << n) - 1).alias("k")) for t, (at, n) in enumerate(TABLES)]
-    return units.select("unit", "sim", "words", F.explode(F.array(*part)).alias("p")).select("unit", "sim", "words", "p.t", "p.k")
-
-
 def find_residue(texts: DataFrame, trusted: list[str] | None = None) -> DataFrame:
     """(page_key, block_no): the texts that hold residue. Null, empty and blank texts are no cases.
 
@@ -233,23 +220,21 @@ def find_residue(texts: DataFrame, trusted: list[str] | None = None) -> DataFram
     """
     spark = texts.sparkSession
     messages = [m.strip() for m in (trusted or TRUSTED.strip().split("\n")) if m.strip()]
-    seen = [_masked(_units(m, False)[0]) for m in messages]
-    u, s, w = _fingerprints(seen)
-    seeds = spark.createDataFrame([*zip(u.to_pylist(), s.to_pylist(), w.to_pylist())], "unit long, sim long, words array<long>")
+    u, w = _sets([_masked(_units(m, False)[0]) for m in messages])
+    seeds = materialize(spark.createDataFrame([*zip(u.to_pylist(), w.to_pylist())], "unit long, words array<long>").coalesce(1))
 
     units = texts.select("page_key", "block_no", "text").mapInArrow(
-        _features, "page_key string, block_no int, form boolean, unit long, sim long, words array<long>"
+        _features, "page_key string, block_no int, form boolean, unit long, words array<long>"
     )
     units = materialize(units)
-    known = materialize(units.filter(F.size("words") > 0).select("unit", "sim", "words").dropDuplicates(["unit"]))
+    known = materialize(units.filter(F.size("words") > 0).select("unit", "words").dropDuplicates(["unit"]))
     found, fresh = seeds.select("unit"), seeds
     for _ in range(ROUNDS):
-        near = _tables(fresh).select(F.col("sim").alias("sim_b"), F.col("words").alias("words_b"), "t", "k")
-        met = _tables(known).join(broadcast_if_small(near), ["t", "k"])
+        near = fresh.select(F.col("words").alias("words_b"), _head())
+        met = known.select("*", _head()).join(broadcast_if_small(near), "w")
         both = F.size(F.array_intersect("words", "words_b"))
         union = F.size(F.array_union("words", "words_b"))
-        met = met.filter((F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_b"))) <= HAMMING) & (both >= SIMILAR * union))
-        new = met.select("unit", "sim", "words").dropDuplicates(["unit"])
+        new = met.filter(both * DENOMINATOR >= union * SIMILAR).select("unit", "words").dropDuplicates(["unit"])
         fresh = materialize(new.join(broadcast_if_small(found.select("unit").distinct()), "unit", "left_anti"))
         if fresh.isEmpty():
             break

@@ -155,6 +155,14 @@ def test_residue(spark):
     assert residue.find_residue(empty).count() == 0
 
 
+def test_residue_candidates(spark):
+    words = "alder birch cedar elm fir hazel larch maple".split()
+    texts = [" ".join([*words[:i], w, *words[i:]]) for i in range(1, 9) for w in ("oak", "pine", "rowan")]
+    rows = spark.createDataFrame([("k", n, t) for n, t in enumerate([*texts, "alder birch cedar", "oak pine"])], "page_key string, block_no int, text string")
+    got = {r["block_no"] for r in residue.find_residue(rows, [" ".join(words)]).collect()}
+    assert got == set(range(len(texts)))  # one word in nine is new: all are similar
+
+
 # ---- 7 and 8
 
 
