@@ -1,10 +1,11 @@
 """Template residue, filler and error-page text standing for content (problem 6).
 
-Texts are cut into units: the first sentence of each line, of a title the parts beside the site's name too. In
-a unit, numbers, codes and names are masked. Units that are near-duplicates of trusted residue messages carry
-their label on: units of which any two similar ones share a word of their prefixes are joined on it, the similarity
-of the masked words decides, and labels spread through the connected components until no unit is new. Unfilled
-placeholders and filler words are labelled by their form, unless the sentence writes about templates.
+Texts are cut into units: each line whole and each of its sentences, of a title the parts beside the site's name
+too; a sentence further on in a line about templates is left out. In a unit, numbers, codes and names are masked.
+Units that are near-duplicates of trusted residue messages carry their label on: two similar units share a word of
+their prefixes and are joined on it, the similarity of the masked words decides, and labels spread through the
+connected components until no unit is new. Unfilled placeholders and filler words are labelled by their form,
+unless the sentence writes about templates.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ ROUNDS = 20
 _placeholder = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS.split("\n") if p))
 _about = re.compile("|".join(ABOUT), re.I)
 _filler = frozenset(FILLER)
-_first = re.compile(r"(?<=[.!?…])\s+")
+_stop = re.compile(r"(?<=[.!?…])\s+")
+_beside = re.compile(r"\s[|—–-]\s")
 _code = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
 _word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _hashes = tk.Hashes()
@@ -145,9 +147,23 @@ def _masked(unit: str) -> list[int]:
     return out
 
 
-def _units(text: str, title: bool) -> list[str]:
-    parts = re.split(r"\s[|—–-]\s|\n", text) if title else text.split("\n")
-    return [_first.split(p.strip(), maxsplit=1)[0] for p in parts if p.strip()]
+def _unit_words(text: str, title: bool) -> Iterator[list[int]]:
+    """The words of every line as a whole and of each of its sentences, of a title also of the parts beside the site's name.
+
+    A sentence after the first is left out where the rest of its line writes about templates.
+    """
+    lines = text.split("\n")
+    if title:
+        lines += [p for x in lines if len(parts := _beside.split(x)) > 1 for p in parts]
+    for p in lines:
+        own = _stop.split(p.strip())
+        words = [_masked(x) for x in own]
+        yield words[0]
+        if len(own) > 1:
+            yield [w for ws in words for w in ws]
+            about = [bool(_about.search(x)) for x in own]
+            of = sum(about)
+            yield from (ws for ws, at in zip(words[1:], about[1:]) if of == at)
 
 
 def _form(text: str) -> bool:
@@ -186,7 +202,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             form = _form(text)
-            own = [m for u in _units(text, no < 0) if (m := _masked(u))]
+            own = [m for m in _unit_words(text, no < 0) if m]
             for m in own or ([[]] if form else []):
                 rows.append(i)
                 units.append(m)
@@ -220,7 +236,7 @@ def find_residue(texts: DataFrame, trusted: list[str] | None = None) -> DataFram
     """
     spark = texts.sparkSession
     messages = [m.strip() for m in (trusted or TRUSTED.strip().split("\n")) if m.strip()]
-    u, w = _sets([_masked(_units(m, False)[0]) for m in messages])
+    u, w = _sets([[w for x in _stop.split(m) for w in _masked(x)] for m in messages])
     seeds = materialize(spark.createDataFrame([*zip(u.to_pylist(), w.to_pylist())], "unit long, words array<long>").coalesce(1))
 
     units = texts.select("page_key", "block_no", "text").mapInArrow(

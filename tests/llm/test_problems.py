@@ -163,6 +163,13 @@ def test_residue_candidates(spark):
     assert got == set(range(len(texts)))  # one word in nine is new: all are similar
 
 
+def test_residue_sentences(spark):
+    bad = ["Извините. Страница не найдена.", "Oops! We can't find the page you are looking for", "All is well here. The tram is late. Access denied."]
+    good = ["Oops! I left the keys at home", "Oops.", "A variable has no value. Access denied. That is what the template shows."]
+    rows = spark.createDataFrame([("k", n, t) for n, t in enumerate(bad + good)], "page_key string, block_no int, text string")
+    assert {r["block_no"] for r in residue.find_residue(rows).collect()} == set(range(len(bad)))
+
+
 # ---- 7 and 8
 
 
