@@ -63,6 +63,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return drop.join(residue.find_residue(residue.searched_texts(pages, scrapes)), ["page_key", "block_no"], "left_anti")
 
 
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return main_body.main_body(main_body.page_streams(table(spark, sf, "page_blocks"), table(spark, sf, "scrapped_pages")))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(residue.searched_texts(table(spark, sf, "pages"), table(spark, sf, "scrapped_pages")))
 
@@ -97,7 +101,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pages, p1_passages, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_classes, p5_found, p6_found, p7_ids, p7_text, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)
+    f.__name__: f for f in (p1_found, p1_pages, p1_passages, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_classes, p5_found, p5_clean, p6_found, p7_ids, p7_text, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)
 }
 
 SQL: dict[str, str] = {

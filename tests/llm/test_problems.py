@@ -143,6 +143,16 @@ def test_main_body(spark):
     assert main_body.furniture_blocks(main_body.page_streams(b.limit(0), s.limit(0))).count() == 0
 
 
+def test_main_body_text(spark):
+    topics = "river bridge market school garden tower museum harbour library station castle mill".split()
+    rows = [(f"p{i}-{o}", f"p{i}", o, "paragraph", x, f"s{i % 6}")
+            for i, t in enumerate(topics)
+            for o, x in enumerate(["Home | News | Contacts", f"Share this page: mail {i}\nNobody in the {t} had heard the {topics[i - 2]} bells ring so late.\n12"])]
+    b = spark.createDataFrame([*rows, *rows[:3]], BLOCK)
+    got = {tuple(r) for r in main_body.main_body(main_body.page_streams(b, spark.createDataFrame([], SCRAPE))).collect()}
+    assert got == {(f"page:p{i}", 1, f"Nobody in the {t} had heard the {topics[i - 2]} bells ring so late.\n12", 1) for i, t in enumerate(topics)}
+
+
 def test_residue(spark):
     bad = ["404 Not Found", "СТРАНИЦА НЕ НАЙДЕНА!", "Please  enable JavaScript to view this page. Incident 12", "Lorem ipsum dolor sit amet.", "The {{ doc.name }} of ${city}", "[object Object]"]
     good = ["How to fix error 404 in Kelbar", "In a template of X the expression {{ name }} is replaced by a value.", "Untitled", "", None, "The 404 page was redesigned by the team.", "{ x: 1 }"]
