@@ -59,12 +59,12 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     pages, scrapes = table(spark, sf, "pages"), table(spark, sf, "scrapped_pages")
-    drop = main_body.furniture_blocks(main_body.page_streams(table(spark, sf, "page_blocks"), scrapes))
+    drop = main_body.furniture_blocks(main_body.page_streams(table(spark, sf, "page_blocks"), scrapes, pages))
     return drop.join(residue.find_residue(residue.searched_texts(pages, scrapes)), ["page_key", "block_no"], "left_anti")
 
 
 def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return main_body.main_body(main_body.page_streams(table(spark, sf, "page_blocks"), table(spark, sf, "scrapped_pages")))
+    return main_body.main_body(main_body.page_streams(table(spark, sf, "page_blocks"), table(spark, sf, "scrapped_pages"), table(spark, sf, "pages")))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -153,6 +153,18 @@ def test_main_body_text(spark):
     assert got == {(f"page:p{i}", 1, f"Nobody in the {t} had heard the {topics[i - 2]} bells ring so late.\n12", 1) for i, t in enumerate(topics)}
 
 
+def test_main_body_of_large_site(spark):
+    rows = [(f"p{i}-{o}", f"p{i}", o, "paragraph", x, "s" if i % 2 else None)
+            for i in range(300)
+            for o, x in enumerate([f"a{i} b{i} c{i} d{i} e{i}", *(["the desk is closed for a week"] if i < 14 else [])])]
+    pages = spark.createDataFrame([(f"p{i}", "s", "t", None) for i in range(300)], PAGE)
+    streams = main_body.page_streams(spark.createDataFrame(rows, BLOCK), spark.createDataFrame([], SCRAPE), pages)
+    assert {tuple(r) for r in main_body.furniture_blocks(streams).collect()} == {(f"page:p{i}", 1) for i in range(14)}
+    twice = [("x", "p0", 0, "paragraph", "\n".join(["the desk is closed for a week"] * 20), "s")]  # many lines, one page
+    streams = main_body.page_streams(spark.createDataFrame(twice, BLOCK), spark.createDataFrame([], SCRAPE))
+    assert main_body.furniture_blocks(streams).count() == 0
+
+
 def test_residue(spark):
     bad = ["404 Not Found", "СТРАНИЦА НЕ НАЙДЕНА!", "Please  enable JavaScript to view this page. Incident 12", "Lorem ipsum dolor sit amet.", "The {{ doc.name }} of ${city}", "[object Object]"]
     good = ["How to fix error 404 in Kelbar", "In a template of X the expression {{ name }} is replaced by a value.", "Untitled", "", None, "The 404 page was redesigned by the team.", "{ x: 1 }"]
