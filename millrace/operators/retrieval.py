@@ -164,7 +164,10 @@ def rerank(hits: DataFrame, queries: DataFrame, n: int = FAST.rerank_top, scorer
 
 
 def context(ranked: DataFrame, n: int = FAST.final_top) -> DataFrame:
-    """(query_id, num, key, url, entry): one numbered entry for a page or document, best first."""
+    """(query_id, num, key, url, entry): one numbered entry for a page or document, best first.
+
+    Of R11 only the hit's own text is taken, not the full source.
+    """
     best = top(ranked.filter("score_final is not null").drop("rank"), "score_final", n).drop("rank")
     entries = top(one_for_page(best, "score_final"), "score_final", n).withColumnRenamed("rank", "num")
     nvl = lambda c: F.coalesce(F.col(c), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -42,6 +42,14 @@ def frontier_bfs_waves(spark: SparkSession, sf: str) -> DataFrame:
     return K.crawl_waves(start, page_graph(spark, sf), 6)
 
 
+@query("frontier_page_waves")
+def frontier_page_waves(spark: SparkSession, sf: str) -> DataFrame:
+    """Waves from every site's least page URL over the stored pages' own links, to depth 6."""
+    pages = table(spark, sf, "pages").filter("source_id is not null and url is not null")
+    start = pages.groupBy("source_id").agg(F.min("url").alias("url")).select("url", F.lit(0).alias("depth")).distinct()
+    return K.crawl_waves(start, edges(spark, sf), 6)
+
+
 @query("frontier_best_first")
 def frontier_best_first(spark: SparkSession, sf: str) -> DataFrame:
     """The hundred best candidates; a top-k by design."""
@@ -59,6 +67,12 @@ def frontier_unseen(spark: SparkSession, sf: str) -> DataFrame:
     return K.unseen(links, table(spark, sf, "pages"))
 
 
+def event_status() -> Column:
+    """A crawl status for each kind of event."""
+    kind = F.col("event_type")
+    return F.when(kind == "view", "queued").when(kind == "click", "rendering").when(kind == "signup", "parsed").when(kind == "purchase", "batched").otherwise("failed")
+
+
 @query(
     "crawl_stats",
     """with s as (select user_id, case event_type when 'view' then 'queued' when 'click' then 'rendering' when 'signup' then 'parsed' when 'purchase' then 'batched' else 'failed' end as status from events where ts < timestamp '2024-01-02'),
@@ -67,9 +81,19 @@ def frontier_unseen(spark: SparkSession, sf: str) -> DataFrame:
         select *, queued + rendering + parsed = 0 as done, case when queued + rendering + parsed > 0 then 'RUNNING' when batched = 0 then 'FAILED' else 'COMPLETED' end as state from c""",
 )
 def crawl_stats(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.col("event_type")
-    status = F.when(kind == "view", "queued").when(kind == "click", "rendering").when(kind == "signup", "parsed").when(kind == "purchase", "batched").otherwise("failed")
-    return K.crawl_stats(table(spark, sf, "events").filter("ts < timestamp '2024-01-02'").withColumn("status", status), "user_id", "status")
+    return K.crawl_stats(table(spark, sf, "events").filter("ts < timestamp '2024-01-02'").withColumn("status", event_status()), "user_id", "status")
+
+
+@query(
+    "crawl_stats_all",
+    """with s as (select user_id, case event_type when 'view' then 'queued' when 'click' then 'rendering' when 'signup' then 'parsed' when 'purchase' then 'batched' else 'failed' end as status from events),
+        c as (select user_id, count(*) filter (status = 'queued') as queued, count(*) filter (status = 'rendering') as rendering, count(*) filter (status = 'parsed') as parsed,
+            count(*) filter (status = 'batched') as batched, count(*) filter (status = 'failed') as failed from s group by 1)
+        select *, queued + rendering + parsed = 0 as done, case when queued + rendering + parsed > 0 then 'RUNNING' when batched = 0 then 'FAILED' else 'COMPLETED' end as state from c""",
+)
+def crawl_stats_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics over all events."""
+    return K.crawl_stats(table(spark, sf, "events").withColumn("status", event_status()), "user_id", "status")
 
 
 MESSAGES = [
@@ -210,3 +234,10 @@ def feedback_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Ratings out of 1 to 5 are left out of the report."""
     rows = table(spark, sf, "events").filter((1 + F.col("event_id") % 7).between(1, 5))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.avg(1 + F.col("event_id") % 5).alias("rating"))
+
+
+@query("feedback_summary_valid", "select event_type, count(*) as n, avg(1 + event_id % 7) as rating from events where 1 + event_id % 7 between 1 and 5 group by 1")
+def feedback_summary_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """R19 with the filter on the rating that is averaged."""
+    rows = table(spark, sf, "events").withColumn("rating", 1 + F.col("event_id") % 7).filter("rating between 1 and 5")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("rating").alias("rating"))

@@ -183,6 +183,19 @@ def search_hydrate(spark: SparkSession, sf: str) -> DataFrame:
     return R.hydrate(keys, blocks, files, table(spark, sf, "pages")).select("key", "page_id", "url", "title")
 
 
+@query(
+    "search_hydrate_all",
+    r"""with p as (select distinct id, url, title from pages)
+        select 'block:' || b.id as key, p.id as page_id, p.url, p.title from (select distinct id, page_id from page_blocks) b join p on p.id = b.page_id
+        union all select 'document:' || d.id, p.id, d.url, d.description from (select distinct id, page_id, url, description from page_documents) d join p on p.id = d.page_id""",
+)
+def search_hydrate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """R03, R04 over every block and document."""
+    blocks, files = table(spark, sf, "page_blocks"), table(spark, sf, "page_documents")
+    keys = blocks.select(F.concat(F.lit("block:"), "id").alias("key")).union(files.select(F.concat(F.lit("document:"), "id"))).distinct()
+    return R.hydrate(keys, blocks, files, table(spark, sf, "pages")).select("key", "page_id", "url", "title")
+
+
 @query("embed_hashed")
 def embed_hashed(spark: SparkSession, sf: str) -> DataFrame:
     return R.hashed_embeddings(texts(spark, sf)).select(F.col("key").alias("doc_id"), F.transform("values", lambda x: F.round(x, 6)).alias("values"))
