@@ -7,7 +7,7 @@ likelihoods; a second language is accepted only where it raises the text's likel
 Texts of several languages are then cut into passages by a Viterbi pass over the accepted languages, in which a
 change of language costs less at a sentence's or quotation's end than inside one.
 
-All texts of an Arrow batch are estimated together as flat arrays; only counts of letters leave the workers.
+All texts of an Arrow batch are estimated together as flat arrays; counts of letters and the passages leave the workers.
 """
 
 from __future__ import annotations
@@ -154,6 +154,41 @@ def _mixture(e: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return share, single, mixed
 
 
+def _chosen(e: np.ndarray, begins: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """(texts, languages): each text's set, which starts with the best language and takes, one at a time, the language that
+    raises the likelihood most, as long as that is by more than the penalty."""
+    n, k = len(best), e.shape[1]
+    chosen = np.zeros((n, k), bool)
+    chosen[np.arange(n), best] = True
+    p, sets = np.exp(e), best[:, None]
+    score = np.add.reduceat(e[np.arange(len(e)), np.repeat(best, np.diff(begins))], begins[:-1])
+    live = np.arange(n)
+    for _ in range(k - 1):
+        if not len(live):
+            break
+        sizes = np.diff(begins)[live]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        words = np.repeat(begins[:-1][live] - at[:-1], sizes) + np.arange(at[-1])
+        own = np.repeat(np.arange(len(live)), sizes)
+        held = np.take_along_axis(p[words], sets[own], 1)
+        gains = np.full((len(live), k), -np.inf)
+        for x in range(k):
+            both = np.column_stack([held, p[words, x]])
+            share = np.full((len(live), both.shape[1]), 1 / both.shape[1])
+            for _ in range(ROUNDS):
+                part = both * share[own]
+                part /= part.sum(1, keepdims=True)
+                share = np.add.reduceat(part, at[:-1], axis=0) / sizes[:, None]
+            gains[:, x] = np.add.reduceat(np.log((both * share[own]).sum(1) + 1e-300), at[:-1]) - score[live]
+        gains[chosen[live]] = -np.inf
+        new = gains.argmax(1)
+        more = gains[np.arange(len(live)), new] > PENALTY
+        score[live[more]] += gains[more, new[more]]
+        chosen[live[more], new[more]] = True
+        sets, live = np.column_stack([sets[more], new[more]]), live[more]
+    return chosen
+
+
 def _passages(e: np.ndarray, ends: np.ndarray, begins: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """The language of every word: Viterbi over each text's accepted languages, many texts side by side."""
     out = np.zeros(len(e), np.int8)
@@ -187,7 +222,7 @@ def _passages(e: np.ndarray, ends: np.ndarray, begins: np.ndarray, allowed: np.n
 
 
 def _infer(model, least: int):
-    """A batch of (id, page_id, text) to letters by language, in all and in passages of ``least`` letters or more."""
+    """A batch of (id, page_id, text) to letters by language, and the unbroken passages of ``least`` letters or more."""
     hold: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +235,7 @@ def _infer(model, least: int):
             texts = b.column(2).to_pylist()
             every, begins = tk.flat([find(t) if t else [] for t in texts])
             total = np.zeros((len(texts), k), np.int64)
-            long, sure = total.copy(), np.zeros((len(texts), k), np.float32)
+            found: list[list[tuple]] = [[] for _ in texts]
             full = np.flatnonzero(np.diff(begins))
             if len(full):
                 codes = vocabulary.rows(every)
@@ -215,8 +250,15 @@ def _infer(model, least: int):
                 several = mixed - spread[:, -1] > PENALTY
                 one = ~several & told
                 total[full[one], best[one]] = letters[one]
-                sure[full[one], best[one]] = 1 / (1 + np.exp(spread[one, -2] - spread[one, -1]))
-                long[full] = np.where(total[full] >= least, total[full], 0)
+                sure = 1 / (1 + np.exp(spread[:, -2] - spread[:, -1]))
+                for j in np.flatnonzero(one & (letters >= least)).tolist():
+                    t = texts[full[j]]
+                    begin, end = 0, len(t)
+                    while not t[begin].isalpha():
+                        begin += 1
+                    while not t[end - 1].isalpha():
+                        end -= 1
+                    found[full[j]].append((begin, end, int(best[j]), int(letters[j]), float(sure[j])))
                 many = np.flatnonzero(several)
                 if len(many):
                     sizes = np.diff(cuts)[many]
@@ -232,9 +274,7 @@ def _infer(model, least: int):
                                 after = True
                     own_begins = np.concatenate([[0], np.cumsum(sizes)])
                     em, lm = np.maximum(e[pick] - e[pick].max(1, keepdims=True), -25), lens[pick]
-                    # a language is in the set where its share can't come from chance look-alikes
-                    allowed = share[many] * sizes[:, None] > 1.5
-                    allowed[np.arange(len(many)), best[many]] = True
+                    allowed = _chosen(em, own_begins, best[many])
                     state = _passages(em, np.array(ends, bool), own_begins, allowed)
                     own = np.repeat(np.arange(len(many)), sizes)
                     new = np.ones(len(own), bool)
@@ -243,13 +283,24 @@ def _infer(model, least: int):
                     run_letters = np.add.reduceat(lm, run_at)
                     where = (full[many][own[run_at]], state[run_at])
                     np.add.at(total, where, run_letters)
-                    np.add.at(long, where, np.where(run_letters >= least, run_letters, 0))
                     q = np.exp(em - np.log(np.exp(em).sum(1, keepdims=True)))
-                    runs = np.add.reduceat(q[np.arange(len(own)), state], run_at) / np.diff(np.append(run_at, len(own)))
-                    np.maximum.at(sure, where, runs.astype(np.float32))
+                    ends_at = np.append(run_at[1:], len(own)) - 1
+                    runs = np.add.reduceat(q[np.arange(len(own)), state], run_at) / (ends_at - run_at + 1)
+                    spans: tuple = (None, [])
+                    for j in np.flatnonzero(run_letters >= least).tolist():
+                        i = int(own[run_at[j]])
+                        if spans[0] != i:
+                            spans = (i, [m.span() for m in tk.letter_runs().finditer(texts[full[many[i]]])])
+                        x, y = run_at[j] - own_begins[i], ends_at[j] - own_begins[i]
+                        found[full[many[i]]].append((spans[1][x][0], spans[1][y][1], int(state[run_at[j]]), int(run_letters[j]), float(runs[j])))
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1).astype(y))) for x, y in ((total, np.int32), (long, np.int32), (sure, np.float32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["block_id", "page_id", "letters", "passages", "sure"])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1).astype(np.int32)))
+            rows, begins_of = tk.flat(found)
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = dict(begin=pa.int32(), end=pa.int32(), lang=pa.int32(), letters=pa.int32(), sure=pa.float32())
+            inner = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+            passages = pa.ListArray.from_arrays(pa.array(begins_of.astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, passages], names=["block_id", "page_id", "letters", "passages"])
 
     return run
 
@@ -261,14 +312,15 @@ def fit(samples: DataFrame) -> NgramModel:
 
 
 def block_languages(blocks: DataFrame, model: NgramModel, least: int = 40) -> DataFrame:
-    """(block_id, page_id, letters, passages, sure): letters of a block's text by language, in the model's order.
+    """(block_id, page_id, letters, passages): letters of a block's text by language, in the model's order, and its passages.
 
-    ``passages`` counts only unbroken passages of ``least`` letters or more. A null, empty or letterless text, or
+    ``passages`` holds the unbroken ones of ``least`` letters or more: begin and end in the text, the language's number, the
+    letters, and the mean share of the language in a word's likelihood. A null, empty or letterless text, or
     one of names alone, counts for no language. A block delivered twice counts once.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(model)
     own = blocks.select(F.col("id").alias("block_id"), "page_id", "text").filter("text is not null")
-    schema = "block_id string, page_id string, letters array<int>, passages array<int>, sure array<float>"
+    schema = "block_id string, page_id string, letters array<int>, passages array<struct<begin:int,end:int,lang:int,letters:int,sure:float>>"
     return own.mapInArrow(_infer(shared, least), schema)
 
 
@@ -288,24 +340,21 @@ def page_languages(own: DataFrame, model: NgramModel) -> DataFrame:
 
 
 def infer_languages(blocks: DataFrame, model: NgramModel, least: int = 40) -> tuple[DataFrame, DataFrame]:
-    """Two tables: pages (page_id, lang, confidence), and blocks with a passage in another language than their page's
-    (block_id, page_id, lang, letters, confidence)."""
+    """Two tables: pages (page_id, lang, confidence), and every passage in another language than its page's
+    (block_id, page_id, begin, end, lang, letters, confidence), text[begin:end] in code points from 0."""
     own = materialize(block_languages(blocks, model, least).dropDuplicates(["block_id"]))
     pages = materialize(page_languages(own, model))
-    found = own.filter(F.exists("passages", lambda n: n > 0)).join(pages.select("page_id", F.col("lang").alias("main")), "page_id")
-    other = F.array_max(
-        F.array(
-            *[
-                F.when(
-                    (F.col("passages")[i] > 0) & (F.col("main") != x),
-                    F.struct(F.col("passages")[i].alias("n"), F.lit(-i), F.lit(x).alias("lang"), F.col("sure")[i].alias("sure")),
-                )
-                for i, x in enumerate(model.langs)
-            ]
-        )
-    )
-    found = found.select("block_id", "page_id", other.alias("o")).filter("o is not null")
-    return pages, found.select("block_id", "page_id", F.col("o.lang").alias("lang"), F.col("o.n").alias("letters"), F.col("o.sure").alias("confidence"))
+    found = own.filter(F.size("passages") > 0).join(pages.select("page_id", F.col("lang").alias("main")), "page_id")
+    names = F.array(*[F.lit(x) for x in model.langs])
+    found = found.select("block_id", "page_id", "main", F.explode("passages").alias("o"))
+    found = found.select("block_id", "page_id", "main", "o.begin", "o.end", F.get(names, F.col("o.lang")).alias("lang"), "o.letters", F.col("o.sure").alias("confidence"))
+    return pages, found.filter(F.col("lang") != F.col("main")).drop("main")
+
+
+def block_cases(passages: DataFrame) -> DataFrame:
+    """(block_id, lang): for each block with such passages the language with the most letters in them."""
+    sums = passages.groupBy("block_id", "lang").agg(F.sum("letters").alias("n"))
+    return sums.groupBy("block_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang"))["lang"].alias("lang"))
 
 
 def label_cases(pages: DataFrame, blocks: DataFrame, model: NgramModel) -> DataFrame:
@@ -314,5 +363,5 @@ def label_cases(pages: DataFrame, blocks: DataFrame, model: NgramModel) -> DataF
     labels = pages.select(F.col("id").alias("page_id"), "language").dropDuplicates(["page_id"])
     wrong = labels.join(found, "page_id").filter(F.col("language").isNull() | (main_language(F.col("language")) != F.col("lang")))
     return wrong.select(F.lit("page").alias("kind"), F.col("page_id").alias("item_id"), "lang").unionByName(
-        passages.select(F.lit("block").alias("kind"), F.col("block_id").alias("item_id"), "lang")
+        block_cases(passages).select(F.lit("block").alias("kind"), F.col("block_id").alias("item_id"), "lang")
     )

@@ -47,6 +47,20 @@ def test_languages(spark):
     assert languages.label_cases(pages, b.limit(0), model).count() == 0
 
 
+def test_passages(spark):
+    model = languages.fit(spark.createDataFrame(SAMPLES, "lang string, text string"))
+    en, de, ru = (next(t for x, t in SAMPLES if x == lang) for lang in ("en", "de", "ru"))
+    text = f"{en} {de} {en} {ru} {en} {de}"
+    b = blocks(spark, [("b1", "p1", 0, " ".join([en] * 9)), ("b2", "p1", 1, text), ("b3", "p1", 2, f"- {de} "), ("b4", "p1", 3, None)])
+    rows = languages.infer_languages(b, model)[1].collect()
+    texts = {"b2": text, "b3": f"- {de} "}
+    got = sorted((r["block_id"], r["begin"], r["lang"], texts[r["block_id"]][r["begin"] : r["end"]]) for r in rows)
+    cut = lambda s: s.rstrip(".")
+    first = len(en) + 1
+    assert [x[2:] for x in got] == [("de", cut(de)), ("ru", cut(ru)), ("de", cut(de)), ("de", cut(de))]
+    assert got[0][1] == first and all(0 < r["confidence"] <= 1 for r in rows)
+
+
 # ---- 2
 
 
