@@ -139,6 +139,6 @@ SQL: dict[str, str] = {
         n as (select page_id, count(*) as n from s group by 1),
         m as (select a.page_id as page_id_a, b.page_id as page_id_b, count(*) as n_both from s a join s b on a.run = b.run and a.page_id < b.page_id group by 1, 2)
         select page_id_a, page_id_b from m join n x on x.page_id = page_id_a join n y on y.page_id = page_id_b
-        where n_both * 10 >= 7 * greatest(x.n, y.n)""",
+        where n_both * 10 >= 7 * (x.n + y.n - n_both)""",
     "p7_text": "select doc_id, coalesce(text, '') as text from documents",
 }
