@@ -122,28 +122,6 @@ def page_sets(blocks: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_sets, _PAGES).filter("n > 0")
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as their differences, seven bits to a byte."""
-    d = np.diff(values, prepend=np.uint64(0))
-    width = np.maximum(1, (np.frexp(d.astype(np.float64))[1] + 6) // 7)
-    ends = np.cumsum(width)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for j in range(int(width.max(initial=0))):
-        has = width > j
-        more = (width[has] > j + 1).astype(np.uint8) << 7
-        out[ends[has] - width[has] + j] = ((d[has] >> np.uint64(7 * j)) & np.uint64(127)).astype(np.uint8) | more
-    return out.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    last = np.flatnonzero(raw < 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    parts = (raw & 127).astype(np.uint64) << (np.uint64(7) * place.astype(np.uint64))
-    return np.cumsum(np.add.reduceat(parts, first), dtype=np.uint64) if len(raw) else np.zeros(0, np.uint64)
-
-
 def _short(runs: np.ndarray) -> np.ndarray:
     return runs >> np.uint64(64 - BITS)
 
@@ -183,7 +161,7 @@ def _told(ranges: int):
             some = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(some), chunk)), pa.array(some.astype(np.int32)),
-                 pa.array([_packed(values[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()),
+                 pa.array([tk.packed(np.diff(values[cuts[i] : cuts[i + 1]], prepend=np.uint64(0))) for i in some], pa.binary()),
                  pa.array([np.minimum(counts[cuts[i] : cuts[i + 1]], 65535).astype(np.uint16).tobytes() for i in some], pa.binary())],
                 names=["chunk", "range", "runs", "counts"],
             )
@@ -195,7 +173,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range are neighbours: to (chunk, range, codes), for each run sent twice the binary logarithm of its count."""
 
     def answer(now: int, chunks: list[int], runs: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-        parts = [_unpacked(r) for r in runs]
+        parts = [np.cumsum(tk.unpacked(r), dtype=np.uint64) for r in runs]
         every = np.concatenate(parts)
         values, at = np.unique(every, return_inverse=True)
         total = np.bincount(at, np.frombuffer(b"".join(counts), np.uint16))

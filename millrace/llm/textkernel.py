@@ -110,3 +110,26 @@ def minhash(values: np.ndarray, begins: np.ndarray, functions: int) -> np.ndarra
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0, seven bits to a byte."""
+    d = numbers.astype(np.uint64)
+    width = np.maximum(1, (np.frexp(d.astype(np.float64))[1] + 6) // 7)
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for j in range(int(width.max(initial=0))):
+        has = width > j
+        more = (width[has] > j + 1).astype(np.uint8) << 7
+        out[ends[has] - width[has] + j] = ((d[has] >> np.uint64(7 * j)) & np.uint64(127)).astype(np.uint8) | more
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw & 127).astype(np.uint64) << (np.uint64(7) * place.astype(np.uint64)), first)

@@ -128,7 +128,7 @@ def test_near_pages(spark):
     want = set()
     for a, c in itertools.combinations(sorted(texts), 2):
         x, y = page_runs(texts[a]), page_runs(texts[c])
-        if x and y and 10 * len(x & y) >= 7 * max(len(x), len(y)):
+        if x and y and 10 * len(x & y) >= 7 * len(x | y):
             want.add((a, c))
     assert {tuple(r) for r in near_pages.near_page_pairs(b).collect()} == want and len(want) > 10
     classes = {r["page_id"]: r["class_id"] for r in near_pages.page_classes(b).collect()}
@@ -136,6 +136,17 @@ def test_near_pages(spark):
     assert near_pages.near_page_pairs(b.limit(0)).count() == 0
 
 
+def test_copied_pages_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_pages, "BLOCK", 3)
+    monkeypatch.setattr(near_pages, "CELL", 2)
+    text = "the tram to the harbour is late again because the rails are wet and the driver is new"
+    rows = [(f"c{i:02}-0", f"c{i:02}", 0, text) for i in range(10)] + [(f"d{i}-0", f"d{i}", 0, text + " indeed" * i) for i in range(1, 4)]
+    got = [tuple(r) for r in near_pages.near_page_pairs(blocks(spark, rows)).collect()]
+    sets = {r[1]: page_runs(r[3]) for r in rows}
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, c) for a, c in itertools.combinations(sorted(sets), 2) if 10 * len(sets[a] & sets[c]) >= 7 * len(sets[a] | sets[c])}
+
+
 # ---- 5 and 6
 
 
@@ -220,6 +231,8 @@ def test_tokens(spark):
     back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(docs)).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert tokens.encode_corpus(docs.limit(0)).count() == 0
+    spread = tokens.encode_corpus(docs.repartition(5), group=1)  # several chunks, each its own join key
+    assert {r["doc_id"]: r["ids"] for r in spread.collect()} == got
 
 
 def test_budgets():
@@ -288,3 +301,5 @@ def test_kernel():
     values, begins = tk.shingles(np.array([1, 2, 3, 4, 9], np.uint64), np.array([0, 4, 5, 5]), 3)
     assert begins.tolist() == [0, 2, 3, 3] and len(set(values.tolist())) == 3
     assert tk.minhash(values, begins, 4).shape == (3, 4)
+    for numbers in ([], [0], [127, 128, 0, 1 << 20, (1 << 48) - 1]):
+        assert tk.unpacked(tk.packed(np.array(numbers, np.uint64))).tolist() == numbers
