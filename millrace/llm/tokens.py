@@ -1,9 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer (problem 7).
 
 A global distinct-word shuffle: texts are cut into pre-tokens with positions, every distinct pre-token is
-encoded once in the whole job, and its ids go back to the positions. To keep the shuffle small the positions
-are grouped first: a chunk of documents sends each of its distinct pre-tokens once, with the positions packed
-in one binary value, so a frequent pre-token costs one row for a chunk and not one for an occurrence.
+encoded once in the whole job, and its ids go back to the positions. Positions stay with their chunk of documents, in a
+stored table; what is shuffled by word is one row for each distinct pre-token of a chunk. A pre-token that stands in every
+chunk is joined back in groups of chunks, so no task gets more than ``GROUP`` rows of one word.
 
 Null and empty texts give an empty list. White space is text. Special tokens are never made.
 """
@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+from . import textkernel as tk
+
 #: Where the vocabulary files lie; any operator takes another path as a parameter.
 TOKENIZER_DIR = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
@@ -28,8 +31,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters of text in a chunk; a longer single document is a chunk of its own.
 CHUNK_CHARS = 3_000_000
 
-_WORDS = "chunk long, word string, docs binary, sizes binary, positions binary"
-_CODED = "chunk long, docs binary, sizes binary, positions binary, ids array<int>"
+#: Chunks whose equal pre-tokens meet in one join key.
+GROUP = 4096
+
+_CHUNKS = "chunk long, docs binary, sizes binary, words array<string>, counts binary, positions binary"
 _encoders: dict = {}
 
 
@@ -48,29 +53,22 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def _chunk_rows(chunk: int, keys: list, pieces: list[list[str]]) -> pa.RecordBatch:
-    """One header row with the documents and their piece counts, then a row for each distinct piece."""
+def _chunk_row(chunk: int, keys: list, pieces: list[list[str]]) -> pa.RecordBatch:
+    """A chunk's documents with their piece counts, its distinct pieces, and where each of them stands."""
     sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
     flat = pa.array([w for p in pieces for w in p], pa.large_string()).dictionary_encode()
     codes = flat.indices.to_numpy(zero_copy_only=False)
     n = len(flat.dictionary)
-    order = np.argsort(codes, kind="stable").astype(np.int32)
-    ends = np.cumsum(np.bincount(codes, minlength=n)) if n else np.zeros(0, np.int64)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else ends
-    deltas = np.diff(order, prepend=0).astype(np.int32)
+    order = np.argsort(codes, kind="stable")
+    counts = np.bincount(codes, minlength=n).astype(np.int32)
+    starts = np.cumsum(counts) - counts
+    deltas = np.diff(order, prepend=0)
     deltas[starts] = order[starts]
-    offsets = np.concatenate([[0, 0], ends]).astype(np.int32) * 4
-    packed = pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(offsets), pa.py_buffer(deltas)])
-    none = pa.nulls(n, pa.binary())
+    words = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), flat.dictionary.cast(pa.string()))
+    binary = lambda x: pa.array([x], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n + 1, chunk, np.int64)),
-            pa.concat_arrays([pa.nulls(1, pa.string()), flat.dictionary.cast(pa.string())]),
-            pa.concat_arrays([pa.array([np.array(keys, np.int64).tobytes()], pa.binary()), none]),
-            pa.concat_arrays([pa.array([sizes.tobytes()], pa.binary()), none]),
-            packed,
-        ],
-        names=["chunk", "word", "docs", "sizes", "positions"],
+        [pa.array([chunk], pa.int64()), binary(np.array(keys, np.int64).tobytes()), binary(sizes.tobytes()), words, binary(counts.tobytes()), binary(tk.packed(deltas))],
+        names=["chunk", "docs", "sizes", "words", "counts", "positions"],
     )
 
 
@@ -84,48 +82,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if size and size + len(text or "") > CHUNK_CHARS:
-                yield _chunk_rows(chunk, keys, pieces)
+                yield _chunk_row(chunk, keys, pieces)
                 chunk, keys, pieces, size = chunk + 1, [], [], 0
             keys.append(key)
             pieces.append(find(text) if text else [])
             size += len(text or "") + 1
     if keys:
-        yield _chunk_rows(chunk, keys, pieces)
+        yield _chunk_row(chunk, keys, pieces)
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single = encoder(path)._core_bpe.encode_single_piece
-        last, ids = None, []  # rows of a word are neighbours, in the next batch too
         for b in batches:
-            out = []
-            for w in b.column("word").to_pylist():
-                if w is None:
-                    out.append(None)
-                    continue
-                if w != last:
-                    last, ids = w, single(w.encode())
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(k) for k in ("chunk", "docs", "sizes", "positions")] + [pa.array(out, pa.list_(pa.int32()))],
-                names=["chunk", "docs", "sizes", "positions", "ids"],
-            )
+            ids = [single(w.encode()) for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
 
 
-def _rows(docs: bytes, sizes: bytes, positions: list[bytes], ids: list[np.ndarray], key: str) -> pa.RecordBatch:
-    """Put the ids of a chunk's pieces at their positions and cut the chunk into documents."""
-    keys, sizes = np.frombuffer(docs, np.int64), np.frombuffer(sizes, np.int32)
+def _rows(head: tuple[bytes, ...], lens: np.ndarray, flat: np.ndarray, key: str) -> pa.RecordBatch:
+    """Put the ids of a chunk's pieces, ``lens`` of each, at their positions and cut the chunk into documents."""
+    keys, sizes, counts = np.frombuffer(head[0], np.int64), np.frombuffer(head[1], np.int32), np.frombuffer(head[2], np.int32)
     n = int(sizes.sum(dtype=np.int64))
     piece, width = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
-    if positions:
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = np.frombuffer(b"".join(positions), np.int32).astype(np.int64)
-        counts = np.fromiter((len(p) // 4 for p in positions), np.int64, len(positions))
-        total = np.cumsum(at)
-        first = np.cumsum(counts) - counts
+    if n:
+        at = tk.unpacked(head[3]).astype(np.int64)
+        total, first = np.cumsum(at), np.cumsum(counts) - counts
         at = total - np.repeat(total[first] - at[first], counts)
         piece[at] = np.repeat(np.cumsum(lens) - lens, counts)
         width[at] = np.repeat(lens, counts)
@@ -134,45 +117,62 @@ def _rows(docs: bytes, sizes: bytes, positions: list[bytes], ids: list[np.ndarra
     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     offsets = np.concatenate([begin, [len(values)]])[ends] if n else np.zeros(len(keys) + 1, np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))], names=[key, "ids"]
+        [pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))], names=[key, "ids"]
     )
 
 
 def _join_back(key: str):
+    """A chunk's stored row, then the ids of its words in their order, to its documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, positions, ids = None, None, [], []
+        now, head, lens, ids = None, None, [], []
+
+        def done() -> pa.RecordBatch:
+            none = np.zeros(0, np.int64)
+            return _rows(head, np.concatenate([none, *lens]), np.concatenate([none, *ids]), key)
+
         for b in batches:
-            lists = b.column("ids")
-            cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for i, (chunk, docs, sizes, p) in enumerate(
-                zip(*(b.column(k).to_pylist() for k in ("chunk", "docs", "sizes", "positions")))
-            ):
-                if chunk != now:
+            chunks = b.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if chunks[x] != now:
                     if head:
-                        yield _rows(*head, positions, ids, key)
-                    now, head, positions, ids = chunk, None, [], []
-                if docs is not None:
-                    head = (docs, sizes)
-                else:
-                    positions.append(p)
-                    ids.append(values[cuts[i] : cuts[i + 1]])
+                        yield done()
+                    now, lens, ids = chunks[x], [], []
+                    head = tuple(b.column(c)[x].as_py() for c in ("docs", "sizes", "counts", "positions"))
+                    x += 1
+                lists = b.column("ids").slice(x, y - x)
+                ends = lists.offsets.to_numpy().astype(np.int64)
+                lens.append(np.diff(ends))
+                ids.append(lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]])
         if head:
-            yield _rows(*head, positions, ids, key)
+            yield done()
 
     return run
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, group: int = GROUP) -> DataFrame:
     """(key, ids array<int>), one row for each input row.
 
     ``key`` must be a bigint and not null; equal keys give equal many rows. A null or an empty text has the
     empty list. Other columns are not looked at, whatever their names.
     """
     path = path or f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
-    words = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter("k is not null")
-    words = words.mapInArrow(_cut, _WORDS)
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), _CODED)
-    return coded.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_join_back(key), f"{key} long, ids array<int>")
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter("k is not null")
+    chunks = materialize(texts.mapInArrow(_cut, _CHUNKS))
+    groups = max(1, -(-chunks.count() // group))
+    words = chunks.select("chunk", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int").alias("part"), F.posexplode("words").alias("at", "word"))
+    coded = words.select("word").distinct().mapInArrow(_encode(path), "word string, ids array<int>")
+    if groups > 1:  # one row of a word for each group of chunks that has it
+        coded = words.select("word", "part").distinct().join(coded, "word")
+    else:
+        coded = coded.withColumn("part", F.lit(0))
+    ids = words.join(coded, ["word", "part"]).select("chunk", "at", "ids", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "sizes", "counts", "positions")])
+    heads = chunks.select("chunk", F.lit(-1).alias("at"), F.lit(None).cast("array<int>").alias("ids"), "docs", "sizes", "counts", "positions")
+    both = heads.unionByName(ids).repartition("chunk").sortWithinPartitions("chunk", "at")
+    return both.mapInArrow(_join_back(key), f"{key} long, ids array<int>")
 
 
 def token_table(spark, path: str | None = None) -> DataFrame:
