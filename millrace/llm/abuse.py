@@ -1,18 +1,18 @@
 """Scores for abusive, hateful or sexually explicit text (problem 9).
 
-Gradient-boosted trees over dense features of a document's worst passages: densities of lexicons, of words that
-reviewers' verdicts speak against, nearness to a second person, capitals, punctuation and rates of disguised
-spelling; an isotonic fit turns the trees' margins into calibrated scores.
-
-The classifier is fitted on the driver on at most ``MOST_LABELS`` labelled documents, taken in the order of a hash;
-every document is scored. Words are folded first: look-alike letters of another script, digits and signs
-for letters, letters set apart or drawn out.
+Gradient-boosted trees over dense features of a document's worst passages: densities of general lexicons, of words that
+reviewers' verdicts speak for or against, nearness to a second person, capitals, punctuation and rates of disguised
+spelling. The trees start from a fixed margin for lexicon hits; an isotonic fit calibrates what they give.
+
+The classifier is fitted on at most ``MOST_LABELS`` labelled documents, taken in the order of a hash; every document is
+scored. Texts stay with the workers: word counts and features are worked out there, and the driver gets the counts of at most
+``MOST_TERMS`` words and one row of numbers for each labelled document. Words are folded first: look-alike letters of another
+script, digits and signs for letters, letters set apart or drawn out.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -22,43 +22,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from . import textkernel as tk
 
-#: Most labelled documents that the classifier is fitted on.
-MOST_LABELS = 20_000
+#: Most labelled documents that the classifier is fitted on, and most words, the commonest in them, that it learns weights of.
+MOST_LABELS, MOST_TERMS = 20_000, 100_000
 FOLDS = 3
+#: Positive verdicts that the uncalibrated score weighs as much as.
+PRIOR = 10.0
 
-# Stems by kind. A stem matches the beginning of a folded word.
+# Stems by kind. A stem matches the beginning of a folded word, one that ends in $ the whole word.
 INSULTS = """идиот дебил придур урод мраз мудак мудил ублюд сволоч скотин твар сука суч гнид подонк кретин тупиц козел козл говн дерьм
-долбо пидор пидар ебан ебал еблан хуй хуе хуи пизд бляд блят гандон чмо шлюх жоп залуп выродок недоумк заткни
+долбо пидор пидар ебан ебал еблан хуй хуе хуи пизд бляд блят гандон чмо шлюх жоп залуп выродок недоумк ничтожеств заткни
 idiot moron bastard asshole bitch dickhead shit fuck cunt retard scum wanker prick imbecile loser dumbass whore slut faggot
-arschloch vollpfosten hurensohn wichser fotze missgeburt schlampe depp trottel verpiss scheiß scheiss drecksack
+arschloch vollpfosten hurensohn wichser fotze missgeburt schlampe depp trottel verpiss scheiß scheiss drecksack abschaum
 connard connasse ordure abruti salaud salope enculé encule pute foutre batard gueule crétin
 gilipollas cabron cabrón imbécil imbecil hijoputa puta mierda pendejo idiota maricon zorra
 debil szmat skurwysyn skurwiel kurw spierdal pierdol chuj dupek kretyn gówn gown
 покидьо потвор мерзот тварюк сволот недолюд виродо дурень пельк""".split()
-SEXUAL = """порн секс эрот голая голые голыми голых сиськ оргазм трахал трахн минет интим шлюх кончил разврат анал орал стонал раздвинул
-porn sex nude nudes naked tits orgasm blowjob hardcore erotic escort anal oral horny cum cums came moaned xxx banged uncensored licked slut dirty
-nackt porno geil orgasmus nues nue chaudes sexe baise desnud calientes sexo tetas naga nagie nagimi ostry gorące seks
-гола голі голими жорстк оголен""".split()
-THREATS = """сдохн сдыхай сгнил убью прибью поплач получит исчезн закро ползи клетк тараканы выслать плодят решётк поганой чистого рожд
-rot die hurt vanish kill hang cages vermin filth subhuman animals burn deport rats shuts born miss crawl
-verreck krepier ungeziefer dreck raus diebe crève creve vermine voleurs dehors
-muérete muerete alimañas ladrones fuera cárcel zdechni robactwo złodzieje won klucz здохни злодії ґрати геть""".split()
-GROUPS = """мигрант приезж чурк хач иноверц инвалид баб геи гей вельмор чужинц мігрант
-immigrant foreigner cripple women gays jews muslims velmoran refugee ausländer frauen fremde
-étrangers femmes immigrés extranjeros mujeres inmigrantes obcy baby imigranci kobiety жінки""".split()
+SEXUAL = """порн секс$ секса$ эрот голая голые голыми голых сиськ оргазм трахал трахн минет интим кончил разврат анал$ орал$ стонал
+porn sex$ sexy nude nudes naked tits orgasm blowjob hardcore erotic escort anal$ oral$ horny cum$ xxx uncensored moan
+nackt porno geil orgasmus nues$ nue$ sexe$ baise desnud sexo$ tetas naga nagie nagimi seks$ гола голі голими оголен""".split()
+THREATS = """сдохн сдыхай сгнил убью убить прибью зареж закопа повес расстрел сгин тараканы паразит нелюд клетк выслать выгнать
+kill cage hurt hang$ rot$ rape stab burn vermin filth subhuman deport
+verreck krepier umbringen aufhäng ungeziefer dreck raus crève creve vermine dehors tuer
+muérete muerete matar alimañas fuera zdechni robactwo zabij здохн здихай вбити геть""".split()
+GROUPS = """мигрант приезж чурк хач иноверц инвалид баб геи гей женщин евре мусульман мігрант жінк біженц
+immigrant migrant foreigner cripple women gays jews muslims refugee ausländer frauen flüchtling
+étrangers femmes immigrés extranjeros mujeres inmigrantes obcy imigranci kobiety""".split()
+# Words of texts that name such words without using them, by what the definition exempts: rules and reports, medicine, technology
+# and animals.
+RULES = """слов термин цитат назва критик запре правил оскорблен устав кодекс словар сообща цитир роман глав книг автор значен
+word term quot call critic forbid prohibit rule insult dictionary meaning novel chapter book example report polic
+wort wört begriff zitat verbiet verbot regel beleidig roman kapitel buch beispiel mot$ mots$ terme citation interdi règle insulte roman chapitre livre exemple
+palabra término cita prohíb prohib regla insult novela capítulo libro ejemplo słow cytat zabrani zasad obraź obelg powieś rozdział książ przykład
+термін заборон образ$ образи розділ приклад""".split()
+MEDICAL = """клиник поликлиник врач медицин здоров осмотр лечен пациент анатом биолог педагог половое половому
+clinic doctor medical health screening patient treatment anatom biolog education klinik arzt ärzt medizin gesund vorsorge patient
+clinique médecin médic santé dépistage clínica médico salud paciente lekarz zdrow badani pacjent клінік лікар медич""".split()
+TECHNICAL = """процесс сервер команд узел узла терминал очеред программ собак щенк порода породы питомник зоолог звезд астроном
+process server command node terminal queue thread software dog puppy breed kennel animal zoolog star astronom
+prozess befehl hund züchter tier stern processus commande chien chiot étoile proceso comando perro cachorro estrella
+proces poleceni pies hodowl gwiazd процес собак зірк""".split()
 SECOND = """ты тебя тебе тобой твой твоя твою твои твоё вы вас вам ваш ваша ти тебе твій you your yours du dich dir dein deine tu te toi ton ta
 espèce tú ti tus ty ciebie ci twój twoja cię""".split()
-CALM = """правил запрещ слово слова пример оскорблен критик глав питомник щенк окрас поликлиник клиник осмотр половому процесс очеред узел узла
-звёзд звезд глазом урок уроков бесплатн language lessons received rules forbid insults word list examples clinic advice screening stars eye visible
-process queue node purge terminal commands assessment lane cockpit cleaned manual breed museum""".split()
 
-_LIKE = str.maketrans("aceopxyktmhb3046@$", "асеорхукттнвзоабас".replace("тт", "тм"))
+# Latin letters and signs that look like Cyrillic ones.
+_LIKE = str.maketrans("aceopxyktmhb3046@$", "асеорхуктмнвзоабас")
 _BACK = str.maketrans("асеорхуктмнвіїз", "aceopxyktmhbiiz")
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "6": "б"})
 _CYR_SIGNS = str.maketrans({"0": "о", "3": "з", "4": "ч", "6": "б", "@": "а", "$": "с", "1": "и", "8": "в", "b": "ь", "u": "и", "n": "п", "r": "г", "7": "т"})
 _token = re.compile(r"[^\W_](?:[^\W_]|[@$#*!_.\-​‌‍·]+(?=[^\W_]))*")
+_quotes = frozenset("«»\"“”„‹›")
 _apart = re.compile(r"[_.\-·​‌‍*]")
 _drawn = re.compile(r"(\w)\1{2,}")
 _passage = re.compile(r"[.!?…]+(?:\s+|$)|\n+|[\U0001F300-\U0001FAFF]+")
@@ -99,17 +114,17 @@ def _fold(word: str) -> tuple[str, bool]:
 
 
 class _Words(dict):
-    """word -> (folded, disguised, insult, sexual, threat, group, second person, calm)."""
+    """word -> (folded, disguised, insult, sexual, threat, group, second person, rules, medical, technical)."""
 
     def __init__(self):
         super().__init__()
-        self.stems = [(re.compile("(?:%s)" % "|".join(map(re.escape, sorted(x, key=len, reverse=True))))) for x in (INSULTS, SEXUAL, THREATS, GROUPS, CALM)]
+        self.stems = [re.compile("|".join(kind)) for kind in (INSULTS, SEXUAL, THREATS, GROUPS, RULES, MEDICAL, TECHNICAL)]
         self.second = frozenset(SECOND)
 
     def __missing__(self, word: str):
         f, disguised = _fold(word)
         kinds = [bool(p.match(f)) for p in self.stems]
-        value = (f, disguised, *kinds[:4], f in self.second, kinds[4])
+        value = (f, disguised, *kinds[:4], f in self.second, *kinds[4:])
         if len(self) < tk.CACHE_WORDS:
             self[word] = value
         return value
@@ -118,43 +133,28 @@ class _Words(dict):
 _words = _Words()
 
 
-@dataclass
-class Weights:
-    """What the verdicts say about folded words: log-odds of those that speak for abuse and of those against it."""
-
-    odds: dict[str, float]
-
-
-def learned_weights(docs: list[set[str]], y: np.ndarray) -> Weights:
-    """Log-odds of words by the documents they stand in, smoothed; rare and neutral words are left out."""
-    pos, neg, p, n = Counter(), Counter(), y.sum(), (1 - y).sum()
-    for words, label in zip(docs, y):
-        for w in words:
-            pos[w] += label
-            neg[w] += 1 - label
-    out = {}
-    for w in pos.keys() | neg.keys():
-        if pos[w] + neg[w] >= 2:
-            v = np.log((pos[w] + 0.1) / (p + 0.2)) - np.log((neg[w] + 0.1) / (n + 0.2))
-            if abs(v) > 1.5:
-                out[w] = float(v)
-    return Weights(out)
+def learned_weights(pos: np.ndarray, docs: np.ndarray, p: float, n: float, terms: list[str]) -> dict[str, float]:
+    """Log-odds of words by the verdicts on the documents they stand in, of all ``n`` documents with the verdicts ``p``,
+    smoothed; rare and neutral words are left out."""
+    v = np.log((pos + 0.1) / (p + 0.2)) - np.log((docs - pos + 0.1) / (n - p + 0.2))
+    return {terms[i]: float(v[i]) for i in np.flatnonzero((docs >= 2) & (np.abs(v) > 1.5))}
 
 
 NAMES = [
-    "insults", "sexual", "threats", "groups", "second", "near_second", "calm", "disguised", "disguised_hits", "capitals", "marks", "words",
-    "odds_top", "odds_sum", "odds_share", "odds_calm", "passages_hit", "emoji", "hits_share",
+    "insults", "sexual", "threats", "groups", "second", "near_second", "disguised", "disguised_hits", "capitals", "marks", "words",
+    "odds_top", "odds_sum", "odds_share", "odds_against", "rules", "medical", "technical", "quoted", "passages_hit", "emoji", "hits_share",
 ]
 
 
 class _Chunks(dict):
-    """What stands between spaces -> (its words, what is known of each, the folded words that are no names, any kind)."""
+    """What stands between spaces -> (its words, what is known of each, the folded words that are no names, any kind, a hit in quotes)."""
 
     def __missing__(self, chunk: str):
         words = tuple(_token.findall(chunk))
         known = tuple(_words[w] for w in words)
         plain = tuple(k[0] for w, k in zip(words, known) if k[0] != "#" and not (w[:1].isupper() and w[1:].islower()))
-        value = (words, known, plain, any(any(k[1:]) for k in known))
+        quoted = not _quotes.isdisjoint(chunk) and any(k[2] or k[3] or k[4] for k in known)
+        value = (words, known, plain, any(any(k[1:7]) for k in known), quoted)
         if len(self) < tk.CACHE_WORDS:
             self[chunk] = value
         return value
@@ -189,16 +189,16 @@ def features(text: str, passages: list, odds: dict[str, float]) -> list[float]:
         told = _told(p)
         if not any(c[3] for c in p) and odds.keys().isdisjoint(told):
             if best is None:
-                best = [0.0] * 5 + [20] + [0.0] * 5 + [sum(len(c[0]) for c in p)] + [0.0] * 4
+                best = [0.0] * 5 + [20] + [0.0] * 4 + [sum(len(c[0]) for c in p)] + [0.0] * 8
             continue
         words = [w for c in p for w in c[0]]
         known = [k for c in p for k in c[1]]
         n = len(words)
-        dis, ins, sex, thr, grp, sec, calm = (sum(col) for col in list(zip(*known))[1:])
+        dis, ins, sex, thr, grp, sec, rul, med, tec = (sum(col) for col in list(zip(*known))[1:])
         own = [odds[x] for x in told if x in odds]
         up = sorted((v for v in own if v > 0), reverse=True)
         down = sum(v for v in own if v < 0)
-        score = 2.0 * (ins + sex + thr) + grp + 0.5 * sec + sum(up[:4]) - calm + 0.3 * down
+        score = 2.0 * (ins + sex + thr) + grp + 0.5 * sec + sum(up[:4]) + 0.3 * down
         hit += ins + sex + thr > 0
         if score > worst:
             at = [i for i, k in enumerate(known) if k[2] or k[4]]
@@ -206,26 +206,32 @@ def features(text: str, passages: list, odds: dict[str, float]) -> list[float]:
             near = min((abs(i - j) for i in at for j in you), default=20)
             worst = score
             best = [
-                ins, sex, thr, grp, sec, near, calm, dis, sum(k[1] and (k[2] or k[3] or k[4]) for k in known),
-                sum(w.isupper() and len(w) > 2 for w in words) / n, 0.0, n, up[0] if up else 0.0, sum(up[:6]), len(up) / n, down,
+                ins, sex, thr, grp, sec, near, dis, sum(k[1] and (k[2] or k[3] or k[4]) for k in known),
+                sum(w.isupper() and len(w) > 2 for w in words) / n, 0.0, n, up[0] if up else 0.0, sum(up[:6]), len(up) / n, down, rul, med, tec, sum(c[4] for c in p),
             ]
     if best is None:
         return [0.0] * len(NAMES)
-    best[10] = sum(text.count(c) for c in "!?") / max(1, len(text)) * 100
+    best[9] = sum(text.count(c) for c in "!?") / max(1, len(text)) * 100
     return [float(x) for x in best] + [float(hit), float(not text.isascii() and max(text) > "\U0001f300"), hit / len(passages)]
 
 
+def prior(x: np.ndarray) -> np.ndarray:
+    """The margin that a passage's lexicon hits give before anything is learned."""
+    at = NAMES.index
+    hits = np.minimum(x[:, at("insults")] + x[:, at("threats")], 2) + np.minimum(x[:, at("sexual")], 2)
+    return -4.0 + 2.0 * hits + (x[:, at("near_second")] <= 3) * np.minimum(hits, 1) + 0.5 * (x[:, at("groups")] > 0) * np.minimum(hits, 1)
+
+
 @dataclass
 class Trees:
-    """Boosted trees of depth three on binned features, with logistic loss."""
+    """Boosted trees of depth three on binned features, with logistic loss, from the prior margin on."""
 
     edges: list[np.ndarray]
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    base: float
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         binned = np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1) if len(x) else np.zeros((0, len(self.edges)), int)
-        out = np.full(len(x), self.base)
+        out = prior(x)
         for feature, cut, leaf in self.trees:
             node = np.zeros(len(x), np.int64)
             for _ in range(3):
@@ -238,8 +244,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.2,
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(edges)], 1)
     width = 33
-    base = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    margin, trees = np.full(len(y), base), []
+    margin, trees = prior(x), []
     slot = binned + np.arange(x.shape[1]) * width
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
@@ -260,7 +265,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.2,
         leaf = np.array([g[node == k].sum() / (h[node == k].sum() + smooth) * rate for k in range(7, 15)])
         margin += leaf[node - 7]
         trees.append((feature, cut, leaf))
-    return Trees(edges, trees, base)
+    return Trees(edges, trees)
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,43 +284,79 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Classifier:
-    weights: Weights
+    odds: dict[str, float]
     trees: Trees
     at: np.ndarray
     score: np.ndarray
+    positive: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([features(t, parse(t), self.weights.odds) if t else [0.0] * len(NAMES) for t in texts], float).reshape(-1, len(NAMES))
-        return np.interp(self.trees.margin(x), self.at, self.score) if len(x) else np.zeros(0)
-
-
-def fit_texts(texts: list[str], y: np.ndarray) -> Classifier:
-    """Word weights and trees; the weights behind each fold's features, and the margins that the scores are
-    calibrated on, come from the other folds."""
-    parsed = [parse(t) for t in texts]
-    words = [terms(p) for p in parsed]
-    fold = np.array([tk.hash64(t) % FOLDS for t in texts])
-    x = np.zeros((len(texts), len(NAMES)))
-    for k in range(FOLDS):
-        w = learned_weights([words[i] for i in np.flatnonzero(fold != k)], y[fold != k])
-        for i in np.flatnonzero(fold == k):
-            x[i] = features(texts[i], parsed[i], w.odds)
-    margin = np.zeros(len(texts))
+        x = np.array([features(t, parse(t), self.odds) if t else [0.0] * len(NAMES) for t in texts], float).reshape(-1, len(NAMES))
+        if not len(x):
+            return np.zeros(0)
+        margin = self.trees.margin(x)
+        plain = 1 / (1 + np.exp(-margin))
+        told = x[:, NAMES.index("words")] > 0
+        return told * (self.positive * np.interp(margin, self.at, self.score) + PRIOR * plain) / (self.positive + PRIOR)
+
+
+def fit_features(x: np.ndarray, y: np.ndarray, fold: np.ndarray, odds: dict[str, float]) -> Classifier:
+    """Trees on features whose word weights come from the other folds; the margins that the scores are calibrated on do too."""
+    margin = np.zeros(len(y))
     for k in range(FOLDS):
         if (fold == k).any() and (fold != k).any():
             margin[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Classifier(learned_weights(words, y), fit_trees(x, y), *isotonic(margin, y))
+    return Classifier(odds, fit_trees(x, y), *isotonic(margin, y), float(y.sum()))
+
+
+def _label_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each labelled text's fold, by the text, so that copies share one, and its distinct words."""
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        fold = [tk.hash64(t) % FOLDS for t in texts]
+        words = [sorted(terms(parse(t))) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), b.column("y"), pa.array(words, pa.list_(pa.string()))], names=["fold", "y", "terms"])
+
+
+def _label_features(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_fold = shared.value
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            fold = [tk.hash64(t) % FOLDS for t in texts]
+            x = [features(t, parse(t), by_fold[k]) for t, k in zip(texts, fold)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(fold, pa.int32()), b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "fold", "y", "x"]
+            )
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     """The classifier, or none without verdicts. A document judged several times counts with the mean verdict."""
-    y = labels.filter("abusive in (0, 1)").groupBy("doc_id").agg(F.avg("abusive").alias("y"))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(y, "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS).toPandas()
-    rows = rows.sort_values("doc_id")
-    if not len(rows):
+    spark = docs.sparkSession
+    y = labels.filter("abusive in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("abusive").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    judged = texts.join(y, "doc_id").select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
+    judged = F.broadcast(materialize(judged))  # MOST_LABELS rows of two numbers
+    own = materialize(texts.join(judged, "doc_id").dropDuplicates(["doc_id"]))
+    told = own.mapInArrow(_label_terms, "fold int, y double, terms array<string>")
+    word = told.select(F.explode("terms").alias("term"), "fold", "y")
+    sums = [f(F.when(F.col("fold") == k, F.col("y"))).alias(f"{n}{k}") for k in range(FOLDS) for n, f in (("p", F.sum), ("n", F.count))]
+    counts = word.groupBy("term").agg(*sums, F.count("*").alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "term").limit(MOST_TERMS).toPandas()
+    totals = told.groupBy("fold").agg(F.sum("y").alias("p"), F.count("*").alias("n")).toPandas().set_index("fold")
+    if not len(totals):
         return None
-    return fit_texts(rows["text"].tolist(), rows["y"].to_numpy(float))
+    names = counts["term"].tolist()
+
+    def odds(folds: list[int]) -> dict[str, float]:
+        pos, n = (counts[[f"{c}{k}" for k in folds]].fillna(0.0).to_numpy(float).sum(1) for c in "pn")
+        some = totals.loc[[k for k in folds if k in totals.index]]
+        return learned_weights(pos, n, float(some["p"].sum()), float(some["n"].sum()), names)
+
+    shared = spark.sparkContext.broadcast([odds([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)])
+    rows = own.mapInArrow(_label_features(shared), "doc_id long, fold int, y double, x array<double>").toPandas().sort_values("doc_id")
+    return fit_features(np.array(rows["x"].tolist(), float), rows["y"].to_numpy(float), rows["fold"].to_numpy(), odds(list(range(FOLDS))))
 
 
 def score_documents(docs: DataFrame, model: Classifier | None) -> DataFrame:
