@@ -16,14 +16,17 @@ other our ours ourselves out over own same she should so some such than that the
 these they this those through to too under until up us very was we were what when where which while who whom why will with
 would you your yours yourself yourselves""".split()
 
-# The commonest Russian function words; the longer list is a parameter of the functions below.
-RU_STOP = """а без более больше будет будто будут бы был была были было быть в вам вас ваш ведь во вот все всего всем всех вы где да
-даже для до его ее ей ему если есть еще ещё её ж же за затем зачем и из или им именно иногда их к каждый как какая какой кем
-когда кого кому которая которого которой которые который которых кроме кто куда ли лишь между менее меньше меня мне мог могут
-может можно мой мы на над надо нам нас наш не него нее ней нельзя нет них но ну о об однако он она они оно от перед по под пока
-после потом потому почему почти при про просто против с сам сама само свой себе себя сейчас со так также такие такой те тебя
-тем теперь тех то тогда того тоже только том тот ту ты у уж уже чего чем через что чтобы эта эти этих это этого этой этом
-этот эту я""".split()
+# Russian function words.
+RU_STOP = """а без более больше будем будет будете будешь будто буду будут будь бы был была были было быть в вам вами вас ваш ваша ваше
+ваши ведь во вот все всего всем всеми всему всех всею всю вся всё вы где да даже для до его ее ей ему если есть еще ещё ею её ж же
+за затем зато зачем и из или им именно ими иногда их к каждая каждое каждые каждый кажется как какая какой кем когда кого ком кому
+которая которого которой которые который которых кроме кто куда ли лишь между менее меньше меня мне мной мною мог могу могут может
+можно мои мой моя моё мы на над надо наиболее нам нами нас наш наша наше наши не него нее ней нельзя нем нему нет нею неё ни ним
+ними них но ну о об оба однако он она они оно от перед по под пока после потом потому почему почти при про просто против с сам сама
+сами самим самими самих само самого самой самом самому саму самый свое своего своей свои своих свой свою себе себя сейчас сих со
+собой собою суть та так такая также таки такие такое такой те тебе тебя тем теми теперь тех то тобой тобою тогда того тоже только
+том тому тот тою ту ты у уж уже чего чем чему через что чтоб чтобы эта эти этим этими этих это этого этой этом этому этот эту
+я""".split()
 
 STOP = tuple(dict.fromkeys(EN_STOP + RU_STOP))
 
@@ -39,8 +42,10 @@ def trim_space(text: Column) -> Column:
 
 
 def valid_text(text: Column) -> Column:
-    """Bytes that are no UTF-8 go."""
-    return F.regexp_replace(F.make_valid_utf8(text), "�", "")
+    """Bytes that are no UTF-8 go; a replacement character that stood in the text stays."""
+    kept = F.replace(text, F.lit("�"), F.lit("\ufdd0"))  # a noncharacter, which texts don't hold
+    mended = F.replace(F.replace(F.make_valid_utf8(kept), F.lit("�"), F.lit("")), F.lit("\ufdd0"), F.lit("�"))
+    return F.when(F.is_valid_utf8(text), text).otherwise(mended)
 
 
 def strip_control(text: Column) -> Column:
@@ -53,6 +58,33 @@ def normalize_text(text: Column) -> Column:
     return strip_control(trim_space(collapse_space(text)))
 
 
+def normalize_query(text: Column) -> Column:
+    """Queries are taken as they are."""
+    return text
+
+
+# Words and phrases of furniture, for judging how clean a page's text is.
+NOISE_TOKENS = """home login logout signup subscribe newsletter cookie cookies copyright disclaimer advertisement share tweet facebook twitter
+instagram linkedin menu navigation sidebar footer header search sitemap faq terms conditions pinterest youtube tiktok whatsapp
+главная войти выйти регистрация подписка подписаться реклама навигация меню поиск карта авторизация""".split()
+NOISE_PHRASES = [
+    "sign up", "sign in", "log in", "log out", "read more", "click here", "learn more", "privacy policy", "terms of service",
+    "terms of use", "all rights reserved", "powered by", "back to top", "cookie policy", "accept cookies", "все права защищены",
+    "политика конфиденциальности", "обратная связь", "пользовательское соглашение", "условия использования",
+]
+
+
+def noise_share(tokens: Column) -> Column:
+    """the share of furniture words among a text's lower-cased tokens; null without tokens."""
+    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda w: w.isin(*NOISE_TOKENS))) / F.size(tokens))
+
+
+def noise_phrases(text: Column) -> Column:
+    """how many of the furniture phrases a text holds."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.contains(low, F.lit(p)).cast("int") for p in NOISE_PHRASES[1:]), F.contains(low, F.lit(NOISE_PHRASES[0])).cast("int"))
+
+
 def fields(text: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+"), lambda x: x != "")
 

@@ -147,8 +147,10 @@ def few_parameters(url: Column, most: int = 4) -> Column:
 
 
 def has_content(url: Column) -> Column:
-    """K04, on the path."""
-    return ~F.regexp_extract(url, r"^(?:[^/?#]*//[^/?#]*)?([^?#]*)", 1).rlike(NO_CONTENT)
+    """K04, on the path with its escapes decoded; a path with a broken escape is taken as it is."""
+    path = F.regexp_extract(url, r"^(?:[^/?#]*//[^/?#]*)?([^?#]*)", 1)
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return ~F.coalesce(plain, path).rlike(NO_CONTENT)
 
 
 def crawlable(url: Column, most: int = 4) -> Column:

@@ -87,18 +87,20 @@ def is_terminal(text: Column) -> Column:
 
 
 def outside_terminal(blocks: DataFrame) -> DataFrame:
-    """adds ``outside``. The walk back over a page's headings takes each strictly smaller level in turn; it runs
-    over the blocks as given, so it belongs before the other filters."""
-    heading = F.col("type") == "heading"
-    mark = F.when(heading, F.struct(F.coalesce("heading_level", F.lit(0)).alias("level"), is_terminal(F.col("text")).alias("terminal")))
-    before = F.collect_list(mark).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    walk = F.aggregate(
-        F.reverse(before),
-        F.struct(F.lit(7).alias("level"), F.lit(False).alias("hit")),
-        lambda s, h: F.when(h["level"] < s["level"], F.struct(h["level"].alias("level"), (s["hit"] | h["terminal"]).alias("hit"))).otherwise(s),
-    )
-    own = heading & is_terminal(F.col("text"))
-    return blocks.withColumn("outside", ~(own | walk["hit"]))
+    """adds ``outside``. A block stands under the last heading of each level that no later heading of that level or a
+    smaller one has closed; any of them may be terminal. It runs over the blocks as given, so it belongs before the other
+    filters. Seven last values are carried along, one for each level, so the work is linear in the page."""
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    out = blocks.withColumn("_level", F.when(F.col("type") == "heading", F.coalesce("heading_level", F.lit(0))))
+    out = out.withColumn("_own", F.col("_level").isNotNull() & is_terminal(F.col("text")))
+    last = [F.last(F.when(F.col("_level") == v, F.struct("idx", "_own")), True).over(before).alias(f"_{v}") for v in range(7)]
+    out = out.select("*", *last)
+    hit, closed = F.lit(False), F.lit(-1)
+    for v in range(7):
+        at = F.coalesce(F.col(f"_{v}.idx"), F.lit(-1))
+        hit = hit | (F.coalesce(F.col(f"_{v}._own"), F.lit(False)) & (at > closed))
+        closed = F.greatest(closed, at)
+    return out.withColumn("outside", ~(F.col("_own") | hit)).drop("_level", "_own", *[f"_{v}" for v in range(7)])
 
 
 def no_tail_phrase(text: Column) -> Column:
@@ -204,6 +206,11 @@ def select_content(scored: DataFrame, kept: DataFrame) -> DataFrame:
     return b.join(k, inside, "left_semi")
 
 
+def select_all(scored: DataFrame) -> DataFrame:
+    """C14: the selector that keeps every block."""
+    return scored
+
+
 def main_content(blocks: DataFrame) -> DataFrame:
     """The whole chain: filters, scores, floor, clusters, merging, selection."""
     scored = materialize(page_floors(score_blocks(filter_blocks(blocks))))  # four steps read it

@@ -1,4 +1,4 @@
-"""Ingestion: chunks, delta sync, upserts and index maintenance."""
+"""Ingestion: chunks, delta sync, events, upserts and index maintenance."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.urls import normalize_for_store
+
 LEAST, MOST = 100, 1000
 
 
@@ -86,22 +88,77 @@ def changed_pages(scanned: DataFrame, stored: DataFrame, force: bool = False) ->
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
-    """The last version of each key; incoming rows win ties."""
+    """The last version of each key; incoming rows win ties."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.col("_new").desc()))
     return both.withColumn("_n", last).filter("_n = 1").drop("_n", "_new")
 
 
+def update_fields(stored: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """A stored row takes ``fields`` from the incoming row of its key and keeps all else; new keys are added, with nulls
+    for what they don't bring. Both sides have one row for each key."""
+    given = incoming.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_in_{f}") for f in fields], F.lit(True).alias("_given"))
+    both = stored.join(given, stored[key] == F.col("_key"), "full_outer")
+    new = F.coalesce("_given", F.lit(False))
+    columns = [F.when(new, F.col(f"_in_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.coalesce(F.col(c), F.col("_key")).alias(c) if c == key else F.col(c) for c in stored.columns]
+    return both.select(*columns)
+
+
+def upsert_sources(stored: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
+    """Adds or updates sources by id where one is given, which must be stored, else by the raw URL as stored; URLs are
+    normalized on writing. Gives (id, source_url, fields..., action): update, insert, or unknown for an id nobody has."""
+    kept = stored.select(F.col("id").alias("_id"), F.col("source_url").alias("_url"))
+    by_id = incoming.filter("id is not null").join(kept.select("_id"), F.col("id") == F.col("_id"), "left")
+    by_id = by_id.select("*", F.when(F.col("_id").isNull(), "unknown").otherwise("update").alias("action"))
+    by_url = incoming.filter("id is null").join(kept, F.col("source_url") == F.col("_url"), "left")
+    by_url = by_url.select("*", F.when(F.col("_id").isNull(), "insert").otherwise("update").alias("action")).withColumn("id", F.col("_id"))
+    columns = ["id", normalize_for_store(F.col("source_url")).alias("source_url"), *fields, "action"]
+    return by_id.select(*columns).unionByName(by_url.select(*columns))
+
+
+def drop_bad_urls(rows: DataFrame, url: str) -> DataFrame:
+    """Pages, links or files with their URL normalized; those whose URL can't be are left out."""
+    return rows.withColumn(url, normalize_for_store(F.col(url))).filter(F.col(url).isNotNull())
+
+
+def dispatch_events(events: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The events (task_id, type, ...) of running tasks with what is done about them: store their pages, and complete
+    or fail the task; unknown types are ignored. ``tasks`` (task_id, status) may be static beside a stream of events."""
+    running = tasks.filter("status = 'RUNNING'").select("task_id").distinct()
+    kind = F.col("type")
+    action = F.when(kind == "TASK_COMPLETED", "COMPLETED").when(kind == "TASK_FAILED", "FAILED").when(kind == "PAGE_BATCH", "RUNNING").otherwise("IGNORED")
+    return events.join(running, "task_id").select("*", kind.isin("TASK_COMPLETED", "PAGE_BATCH").alias("stores_pages"), action.alias("leads_to"))
+
+
+def task_states(events: DataFrame) -> DataFrame:
+    """(task_id, status, finished_at) by the events (task_id, type, ts): a task runs until its first completion or failure
+    and then stays as it is."""
+    end = F.col("type").isin("TASK_COMPLETED", "TASK_FAILED")
+    first = F.min(F.when(end, F.struct("ts", "type"))).alias("end")
+    out = events.groupBy("task_id").agg(first)
+    status = F.when(F.col("end").isNull(), "RUNNING").when(F.col("end.type") == "TASK_COMPLETED", "COMPLETED").otherwise("FAILED")
+    return out.select("task_id", status.alias("status"), F.col("end.ts").alias("finished_at"))
+
+
+def index_vectors(texts: DataFrame, embed) -> DataFrame:
+    """(key, values): each text's vector under the text's own key, so nothing is matched by position."""
+    return embed(texts)
+
+
 def child_diff(existing: DataFrame, candidates: DataFrame, parent: str, content: list[str]) -> DataFrame:
     """(parent, content..., action): equal rows of both sides are matched copy by copy; unmatched existing rows are
-    deleted, unmatched candidates inserted. Numbering the copies makes the multiset a join key."""
-    by = Window.partitionBy(parent, *content).orderBy(F.lit(1))
+    deleted, unmatched candidates inserted. Numbering the copies makes the multiset a join key. Where existing rows have an
+    ``id``, it is given for kept and deleted rows, and the least ids are kept."""
+    own = ["id"] if "id" in existing.columns and "id" not in (parent, *content) else []
+    by = Window.partitionBy(parent, *content)
     keys = [parent, *content, "_copy"]
-    left, right = (d.select(parent, *content).withColumn("_copy", F.row_number().over(by)) for d in (existing, candidates))
+    left = existing.select(parent, *content, *own).withColumn("_copy", F.row_number().over(by.orderBy(*(own or [F.lit(1)]))))
+    right = candidates.select(parent, *content).withColumn("_copy", F.row_number().over(by.orderBy(F.lit(1))))
     left, right = left.withColumn("_l", F.lit(1)).alias("l"), right.withColumn("_r", F.lit(1)).alias("r")
     met = left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "full_outer")
     action = F.when(F.col("_l").isNull(), "insert").when(F.col("_r").isNull(), "delete").otherwise("keep")
-    return met.select(*[F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in [parent, *content]], action.alias("action"))
+    values = [F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in [parent, *content]]
+    return met.select(*values, *[F.col(f"l.{c}") for c in own], action.alias("action"))
 
 
 def due_sources(sources: DataFrame, now: Column) -> DataFrame:

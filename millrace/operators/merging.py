@@ -1,14 +1,15 @@
-"""Merge rules over a page's blocks (M01-M06): folds that stay inside Catalyst.
+"""Merge rules over a page's blocks.
 
 Input: blocks (page_id, idx, type, text, html_id, heading_level, group_idx). The capped rules are sequential by
-nature, so each page's blocks are folded as one array; headings and questions are islands and need only windows.
+nature, so sorted Arrow batches are folded; headings and questions are islands and need only windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -22,36 +23,47 @@ def in_order() -> WindowSpec:
     return Window.partitionBy("page_id").orderBy("idx")
 
 
-def _fold(blocks: DataFrame, joins: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column]) -> DataFrame:
-    """Fold each page's blocks from the left: a block joins the last one of the result, or follows it."""
-    item = F.struct("idx", *FIELDS, word_count(F.col("text")).alias("words"))
-    pages = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("b"))
-    empty = F.slice("b", 1, 0)
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        fits = F.coalesce((F.size(done) > 0) & joins(last, x), F.lit(False))
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined(last, x)))).otherwise(F.concat(done, F.array(x)))
-
-    out = pages.select("page_id", F.posexplode(F.aggregate("b", empty, step)).alias("idx", "x"))
-    return out.select("page_id", "idx", *[f"x.{f}" for f in FIELDS])
-
-
-def _with(last: Column, x: Column, between: str, kind: Column | None = None) -> Column:
-    """``last`` with the text of ``x`` appended."""
-    new = {"text": F.concat(last["text"], F.lit(between), x["text"]), "words": last["words"] + x["words"]}
-    if kind is not None:
-        new["type"] = kind
-    return F.struct(*[new.get(f, last[f]).alias(f) for f in ["idx", *FIELDS, "words"]])
+def _fold(blocks: DataFrame, joins: Callable[[dict, dict], bool], between: str, kind: Callable[[str, str], str] = lambda a, b: a) -> DataFrame:
+    """Fold each page's blocks in order: a block joins the last one of the result, or follows it. The blocks of a page are
+    neighbours in Arrow batches and one open block is held, so the work is linear and no page is gathered."""
+    rows = blocks.select("page_id", "idx", *FIELDS, word_count(F.col("text")).alias("words"))
+    types = dict(rows.dtypes)
+    names = ["page_id", "idx", *FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, place = None, [], 0
+        for b in batches:
+            out = []
+
+            def close() -> None:
+                if last is not None:
+                    out.append((last["page_id"], place, last["type"], between.join(parts), *(last[f] for f in FIELDS[2:])))
+
+            for x in b.to_pylist():
+                if last is not None and x["page_id"] == last["page_id"] and joins(last, x):
+                    last["type"] = kind(last["type"], x["type"])
+                    last["words"] += x["words"]
+                    parts.append(x["text"] or "")
+                else:
+                    close()
+                    place = place + 1 if last is not None and x["page_id"] == last["page_id"] else 0
+                    last, parts = x, [x["text"] or ""]
+            if out:
+                yield table(out)
+        if last is not None:
+            yield table([(last["page_id"], place, last["type"], between.join(parts), *(last[f] for f in FIELDS[2:]))])
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[types[f]] if f != "idx" else pa.int32()) for c, f in zip(zip(*out), names)], names=names)
+
+    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "idx")
+    return ordered.mapInArrow(run, ", ".join(f"{f} {'int' if f == 'idx' else types[f]}" for f in names))
 
 
 def join_lists(blocks: DataFrame) -> DataFrame:
     """Neighbouring list items become one while they have at most 300 words."""
-    return _fold(
-        blocks,
-        lambda a, b: (a["type"] == "listItem") & (b["type"] == "listItem") & (a["words"] + b["words"] <= MOST),
-        lambda a, b: _with(a, b, "\n"),
-    )
+    return _fold(blocks, lambda a, b: a["type"] == b["type"] == "listItem" and a["words"] + b["words"] <= MOST, "\n")
 
 
 def join_siblings(blocks: DataFrame, share: float = 0.4) -> DataFrame:
@@ -59,12 +71,12 @@ def join_siblings(blocks: DataFrame, share: float = 0.4) -> DataFrame:
     page = Window.partitionBy("page_id")
     small = F.count("*").over(Window.partitionBy("page_id", "group_idx")) <= share * F.count("*").over(page)
     known = blocks.withColumn("group_idx", F.when((F.col("group_idx") >= 0) & small, F.col("group_idx")))
-    joined = _fold(
-        known,
-        lambda a, b: (a["group_idx"] == b["group_idx"]) & (a["type"] != "heading") & (b["type"] != "heading") & (a["words"] + b["words"] <= MOST),
-        lambda a, b: _with(a, b, "\n"),
-    )
-    return joined.withColumn("group_idx", F.coalesce("group_idx", F.lit(-1)))
+
+    def joins(a: dict, b: dict) -> bool:
+        same = a["group_idx"] is not None and a["group_idx"] == b["group_idx"]
+        return same and a["type"] != "heading" and b["type"] != "heading" and a["words"] + b["words"] <= MOST
+
+    return _fold(known, joins, "\n").withColumn("group_idx", F.coalesce("group_idx", F.lit(-1)))
 
 
 def absorb_headings(blocks: DataFrame) -> DataFrame:
@@ -104,8 +116,9 @@ def join_short(blocks: DataFrame) -> DataFrame:
     """A block under 30 words takes the next ones, but headings, up to 300 words; a mix is a paragraph."""
     return _fold(
         blocks,
-        lambda a, b: (a["words"] < SHORT) & (b["type"] != "heading") & (a["words"] + b["words"] <= MOST),
-        lambda a, b: _with(a, b, "\n\n", F.when(a["type"] == b["type"], a["type"]).otherwise("paragraph")),
+        lambda a, b: a["words"] < SHORT and b["type"] != "heading" and a["words"] + b["words"] <= MOST,
+        "\n\n",
+        lambda a, b: a if a == b else "paragraph",
     )
 
 

@@ -1,4 +1,4 @@
-"""Retrieval over a batch of queries: BM25, exact kNN, fusion, deduplication, reranking, context, citations.
+"""Retrieval over a batch of queries: BM25, exact kNN, fusion, deduplication, reranking, context, citations, feedback.
 
 Queries are (query_id, text); index texts are (key, text); vectors are (key, values array<float>). Ranks go by the
 rounded score, then by key, so that a rerun and another engine give the same order.
@@ -6,6 +6,8 @@ rounded score, then by key, so that a rerun and another engine give the same ord
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, materialize
 
 K1, B = 1.2, 0.75
 #: Rows of vectors in one block of the exact search.
@@ -63,12 +65,40 @@ def top(scored: DataFrame, score: str, n: int, by: str = "query_id", tie: str =
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def bm25(queries: DataFrame, texts: DataFrame, n: int = FAST.text_top) -> DataFrame:
-    """(query_id, key, score, rank). Only the queries' terms are looked up in the postings; a repeated query term
-    counts each time; an empty query finds nothing. The corpus has one row for each key."""
+@dataclass(frozen=True)
+class TextIndex:
+    """Stored postings (term, key, tf, dl) in the order of terms, and the number and mean length of all texts."""
+
+    postings: DataFrame
+    size: DataFrame
+
+
+def write_text_index(texts: DataFrame, path: str) -> None:
+    """Postings sorted by term in files that don't overlap in terms, so that a search reads only its terms' row groups; a
+    frequent term is cut by key. Tokens are worked out once for the postings and once for the lengths."""
+    ordered = postings(texts).repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+    ordered.write.mode("overwrite").parquet(f"{path}/postings")
+    _size(texts).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def open_text_index(spark, path: str) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size"))
+
+
+def _size(texts: DataFrame) -> DataFrame:
+    return texts.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(F.col("text")))).alias("mean"))
+
+
+def bm25(queries: DataFrame, texts: DataFrame | TextIndex, n: int = FAST.text_top) -> DataFrame:
+    """(query_id, key, score, rank). Only the queries' terms are looked up in the postings, stored ones or those of a table
+    of texts; a repeated query term counts each time; an empty query finds nothing. The corpus has one row for each key."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    size = texts.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(F.col("text")))).alias("mean"))
-    post = postings(texts).join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+    index = texts if isinstance(texts, TextIndex) else TextIndex(postings(texts), _size(texts))
+    post = index.postings.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+    return _ranked(asked, post, index.size, n)
+
+
+def _ranked(asked: DataFrame, post: DataFrame, size: DataFrame, n: int) -> DataFrame:
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     part = asked.join(post, "term").join(df, "term").crossJoin(F.broadcast(size))  # size is one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -77,6 +107,14 @@ def bm25(queries: DataFrame, texts: DataFrame, n: int = FAST.text_top) -> DataFr
     return top(found, "score", n)
 
 
+def search_text(index: TextIndex, text: str, n: int = FAST.text_top) -> DataFrame:
+    """R01 for one query on a stored index: its terms are literals, which the scan takes as a filter on row groups."""
+    words = Counter(re.findall(r"[^\W_]+", text.lower()))
+    spark = index.postings.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(0, w, c) for w, c in sorted(words.items())], "query_id long, term string, qtf long"))
+    return _ranked(asked, index.postings.filter(F.col("term").isin(*words)), index.size, n)
+
+
 def _packed(vectors: DataFrame, key: str, values: str, blocks: int) -> DataFrame:
     """Vectors in ``blocks`` blocks of float64 rows; null and empty vectors are left out."""
     rows = vectors.filter(F.size(values) > 0).select(F.col(key).alias("k"), F.col(values).cast("array<double>").alias("v"))
@@ -108,7 +146,7 @@ def knn(queries: DataFrame, vectors: DataFrame, n: int = FAST.vector_top, key_ty
                 )
 
     # blocks against blocks, not rows against rows
-    met = v.repartition(min(v_blocks, 64)).crossJoin(q).mapInPandas(run, f"query_id long, key {key_type}, score double")
+    met = v.repartition(v_blocks).crossJoin(q).mapInPandas(run, f"query_id long, key {key_type}, score double")
     return top(met, "score", n)
 
 
@@ -164,10 +202,7 @@ def rerank(hits: DataFrame, queries: DataFrame, n: int = FAST.rerank_top, scorer
 
 
 def context(ranked: DataFrame, n: int = FAST.final_top) -> DataFrame:
-    """(query_id, num, key, url, entry): one numbered entry for a page or document, best first.
-
-    Of R11 only the hit's own text is taken, not the full source.
-    """
+    """(query_id, num, key, url, entry): one numbered entry for a page or document, best first, with the hit's own text."""
     best = top(ranked.filter("score_final is not null").drop("rank"), "score_final", n).drop("rank")
     entries = top(one_for_page(best, "score_final"), "score_final", n).withColumnRenamed("rank", "num")
     nvl = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -175,6 +210,47 @@ def context(ranked: DataFrame, n: int = FAST.final_top) -> DataFrame:
     return entries.select("query_id", "num", "key", "url", text.alias("entry"))
 
 
+def full_context(ranked: DataFrame, blocks: DataFrame, documents: DataFrame, n: int = FAST.final_top) -> DataFrame:
+    """R10, R11 with full sources: (query_id, num, key, url, entry). A page's entry holds all its blocks in their order, a
+    file's all its text; a line with the description is there where the file, or a file with the page's URL, has one.
+
+    Only pages and files of the best hits are read together, each once for all queries.
+    """
+    best = top(ranked.filter("score_final is not null").drop("rank"), "score_final", n).drop("rank")
+    best = materialize(top(one_for_page(best, "score_final"), "score_final", n).withColumnRenamed("rank", "num"))
+    pages = best.filter("kind = 'block'").select("page_id").distinct()
+    own = blocks.select("id", "page_id", "ord", "text").dropDuplicates(["id"]).join(broadcast_if_small(pages), "page_id", "left_semi")
+    own = own.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", F.coalesce("text", F.lit("")).alias("text")))).alias("b"))
+    own = own.select("page_id", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("_page"))
+    files = documents.select("id", "url", "description", "extracted_text").dropDuplicates(["id"])
+    whole = files.select(F.concat(F.lit("document:"), "id").alias("key"), F.col("extracted_text").alias("_file"), F.col("description").alias("_own"))
+    about = files.filter("description is not null").groupBy("url").agg(F.min("description").alias("_about"))
+    out = best.join(own, "page_id", "left").join(whole, "key", "left").join(about, "url", "left")
+    nvl = lambda c: F.coalesce(c, F.lit(""))
+    page = F.col("kind") == "block"
+    described = F.when(page, F.col("_about")).otherwise(F.col("_own"))
+    line = F.when(F.trim(nvl(described)) != "", F.concat(F.lit("description: "), described, F.lit("\n"))).otherwise("")
+    text = F.when(page, F.col("_page")).otherwise(F.col("_file"))
+    head = F.concat(F.lit("["), F.col("num"), F.lit("] "), nvl(F.col("url")), F.lit("\ntitle: "), nvl(F.col("title")), F.lit("\n"))
+    return out.select("query_id", "num", "key", "url", F.concat(head, line, F.lit("content: "), nvl(text)).alias("entry"))
+
+
+def result_view(ranked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(query_id, key, score_final, text): each scored hit with its context entry, by exact key; "not found" without one."""
+    shown = entries.select("query_id", "key", "entry")
+    out = ranked.filter("score_final is not null").join(shown, ["query_id", "key"], "left")
+    return out.select("query_id", "key", "score_final", F.coalesce("entry", F.lit("not found")).alias("text"))
+
+
+def feedback(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that are stored, rows that are refused): a rating is a number from 1 to 5, or a thumb up (5) or down (1)."""
+    thumb = F.lower(F.trim(F.col("rating").cast("string")))
+    rating = F.when(thumb == "up", 5).when(thumb == "down", 1).otherwise(F.expr("try_cast(rating as int)"))
+    rated = rows.withColumn("_r", rating)
+    good = F.coalesce(F.col("_r").between(1, 5), F.lit(False))
+    return rated.filter(good).withColumn("rating", F.col("_r")).drop("_r"), rated.filter(~good).drop("_r")
+
+
 def prompts(entries: DataFrame, queries: DataFrame, template: str = "Context\n{context}\n\nQuestion\n{question}\n") -> DataFrame:
     """(query_id, prompt); the entries in order, with a blank line between."""
     joined = entries.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("num", "entry"))).alias("e"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import frontier as K
 from ..operators import rendering as S
+from ..operators import retrieval as R
 from ..registry import query
 from ..runtime import table
 from ..sources.dom import parse_pages
 from ..streaming import crawl as T
-from .url_queries import HOST
+from .url_queries import ALLOWED, HOST, SCORE
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +51,14 @@ def frontier_page_waves(spark: SparkSession, sf: str) -> DataFrame:
     return K.crawl_waves(start, edges(spark, sf), 6)
 
 
-@query("frontier_best_first")
+@query(
+    "frontier_best_first",
+    f"""with l as (select distinct l.id, l.href, l.anchor_text, p.url from page_links l join (select distinct id, url from pages) p on p.id = l.page_id),
+        i as (select href as url, anchor_text from l where ({HOST('href')} = '' or {HOST('href')} = {HOST('url')} or ends_with({HOST('href')}, '.' || {HOST('url')}))),
+        f as ({ALLOWED.format(urls="select distinct url from i")}),
+        s as ({SCORE.format(links="select url as href, anchor_text from i where url in (select url from f where allowed)")})
+        select href as url, cast(1 as int) as depth, max(score) as score from s group by 1 order by score desc, url limit 100""",
+)
 def frontier_best_first(spark: SparkSession, sf: str) -> DataFrame:
     """The hundred best candidates; a top-k by design."""
     pages = table(spark, sf, "pages").select("url").distinct().withColumn("depth", F.lit(0))
@@ -75,38 +83,28 @@ def event_status() -> Column:
 
 @query(
     "crawl_stats",
-    """with s as (select user_id, case event_type when 'view' then 'queued' when 'click' then 'rendering' when 'signup' then 'parsed' when 'purchase' then 'batched' else 'failed' end as status from events where ts < timestamp '2024-01-02'),
+    """with s as (select user_id, case event_type when 'view' then 'queued' when 'click' then 'rendering' when 'signup' then 'parsed' when 'purchase' then 'batched' else 'failed' end as status from events),
         c as (select user_id, count(*) filter (status = 'queued') as queued, count(*) filter (status = 'rendering') as rendering, count(*) filter (status = 'parsed') as parsed,
             count(*) filter (status = 'batched') as batched, count(*) filter (status = 'failed') as failed from s group by 1)
-        select *, queued + rendering + parsed = 0 as done, case when queued + rendering + parsed > 0 then 'RUNNING' when batched = 0 then 'FAILED' else 'COMPLETED' end as state from c""",
+        select *, queued + rendering + parsed = 0 as done, case when queued + rendering + parsed > 0 then 'RUNNING' when batched = 0 then 'FAILED' else 'COMPLETED' end as state,
+            case when queued + rendering + parsed = 0 then case when batched = 0 then 'INTERNAL_ERROR' else 'FRONTIER_EMPTY' end end as reason from c""",
 )
 def crawl_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return K.crawl_stats(table(spark, sf, "events").filter("ts < timestamp '2024-01-02'").withColumn("status", event_status()), "user_id", "status")
+    """K18, K19, T04 over all events."""
+    return K.crawl_stats(table(spark, sf, "events").withColumn("status", event_status()), "user_id", "status")
 
 
 @query(
-    "crawl_stats_all",
-    """with s as (select user_id, case event_type when 'view' then 'queued' when 'click' then 'rendering' when 'signup' then 'parsed' when 'purchase' then 'batched' else 'failed' end as status from events),
-        c as (select user_id, count(*) filter (status = 'queued') as queued, count(*) filter (status = 'rendering') as rendering, count(*) filter (status = 'parsed') as parsed,
-            count(*) filter (status = 'batched') as batched, count(*) filter (status = 'failed') as failed from s group by 1)
-        select *, queued + rendering + parsed = 0 as done, case when queued + rendering + parsed > 0 then 'RUNNING' when batched = 0 then 'FAILED' else 'COMPLETED' end as state from c""",
+    "render_error_class",
+    """with m as (select distinct scrape_id, lower(coalesce(title, '')) as m from scrapped_pages)
+        select scrape_id, case when contains(m, 'timeout') then 'TIMEOUT' when contains(m, 'name_not_resolved') or contains(m, 'connection_refused') or contains(m, 'connection refused') then 'NETWORK_ERROR'
+            when contains(m, 'aborted') and contains(m, '404') then 'PAGE_NOT_FOUND' when contains(m, '403') or contains(m, '401') then 'ACCESS_DENIED'
+            when contains(m, 'invalid url') then 'INVALID_URL' else 'NETWORK_ERROR' end as code from m""",
 )
-def crawl_stats_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The statistics over all events."""
-    return K.crawl_stats(table(spark, sf, "events").withColumn("status", event_status()), "user_id", "status")
-
-
-MESSAGES = [
-    ("Timeout 15000ms exceeded, 404", True), ("net::ERR_NAME_NOT_RESOLVED", False), ("net::ERR_CONNECTION_REFUSED", False), ("net::ERR_ABORTED 404", False),
-    ("status 403", False), ("HTTP 401", False), ("Cannot navigate to invalid URL", False), ("strange", False),
-]
-CODES = ["TIMEOUT", "NETWORK_ERROR", "NETWORK_ERROR", "PAGE_NOT_FOUND", "ACCESS_DENIED", "ACCESS_DENIED", "INVALID_URL", "NETWORK_ERROR"]
-
-
-@query("render_error_class", "select * from (values " + ", ".join(f"('{m}', '{c}')" for (m, _), c in zip(MESSAGES, CODES)) + ") t(message, code)")
 def render_error_class(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(MESSAGES, "message string, is_timeout boolean")
-    return rows.select("message", S.error_code(F.col("message"), F.col("is_timeout")).alias("code"))
+    """S02 over the titles of all scrapes, failed fetches among them."""
+    rows = table(spark, sf, "scrapped_pages").dropDuplicates(["scrape_id"])
+    return rows.select("scrape_id", S.error_code(F.col("title"), F.lit(False)).alias("code"))
 
 
 @query(
@@ -229,15 +227,8 @@ def session_ttl(spark: SparkSession, sf: str) -> DataFrame:
     return T.sliding_sessions(table(spark, sf, "events"))
 
 
-@query("feedback_summary", "select event_type, count(*) as n, avg(1 + event_id % 5) as rating from events where 1 + event_id % 7 <= 5 group by 1")
+@query("feedback_summary", "select event_type, count(*) as n, avg(1 + event_id % 7) as rating from events where 1 + event_id % 7 between 1 and 5 group by 1")
 def feedback_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Ratings out of 1 to 5 are left out of the report."""
-    rows = table(spark, sf, "events").filter((1 + F.col("event_id") % 7).between(1, 5))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.avg(1 + F.col("event_id") % 5).alias("rating"))
-
-
-@query("feedback_summary_valid", "select event_type, count(*) as n, avg(1 + event_id % 7) as rating from events where 1 + event_id % 7 between 1 and 5 group by 1")
-def feedback_summary_valid(spark: SparkSession, sf: str) -> DataFrame:
-    """R19 with the filter on the rating that is averaged."""
-    rows = table(spark, sf, "events").withColumn("rating", 1 + F.col("event_id") % 7).filter("rating between 1 and 5")
+    """Refused ratings are left out of the report."""
+    rows = R.feedback(table(spark, sf, "events").withColumn("rating", 1 + F.col("event_id") % 7))[0]
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("rating").alias("rating"))

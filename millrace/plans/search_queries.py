@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.ingest import index_texts
 from ..registry import query
-from ..runtime import table
+from ..runtime import shared_path, table
 
 TOKENS = lambda t: rf"regexp_extract_all(lower(coalesce({t}, '')), '[\p{{L}}\p{{N}}]+')"
 
@@ -145,8 +146,7 @@ def search_prompt(spark: SparkSession, sf: str) -> DataFrame:
 def search_result_view(spark: SparkSession, sf: str) -> DataFrame:
     """R13, by exact key (Q13)."""
     ranked = R.rerank(R.one_for_page(hits(spark, sf)), asked(spark, sf))
-    shown = R.context(ranked).select("query_id", "key", "entry")
-    return ranked.join(shown, ["query_id", "key"], "left").select("query_id", "key", "score_final", F.coalesce("entry", F.lit("not found")).alias("text"))
+    return R.result_view(ranked, R.context(ranked))
 
 
 @query(
@@ -171,29 +171,63 @@ def index_postings_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "search_hydrate",
-    r"""with h as (select 'block:' || id as key, id from page_blocks where ord = 1 union select 'document:' || id, id from page_documents),
-        p as (select distinct id, source_id, url, title from pages)
-        select h.key, p.id as page_id, p.url, p.title from h join (select distinct id, page_id from page_blocks) b on b.id = h.id and starts_with(h.key, 'block:') join p on p.id = b.page_id
-        union all select h.key, p.id, d.url, d.description from h join (select distinct id, page_id, url, description from page_documents) d on d.id = h.id and starts_with(h.key, 'document:') join p on p.id = d.page_id""",
+    r"""with p as (select distinct id, url, title from pages)
+        select 'block:' || b.id as key, p.id as page_id, p.url, p.title from (select distinct id, page_id from page_blocks) b join p on p.id = b.page_id
+        union all select 'document:' || d.id, p.id, d.url, d.description from (select distinct id, page_id, url, description from page_documents) d join p on p.id = d.page_id""",
 )
 def search_hydrate(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of blocks and documents to their pages."""
+    """The keys of every block and document to their pages."""
     blocks, files = table(spark, sf, "page_blocks"), table(spark, sf, "page_documents")
-    keys = blocks.filter("ord = 1").select(F.concat(F.lit("block:"), "id").alias("key")).union(files.select(F.concat(F.lit("document:"), "id"))).distinct()
+    keys = blocks.select(F.concat(F.lit("block:"), "id").alias("key")).union(files.select(F.concat(F.lit("document:"), "id"))).distinct()
     return R.hydrate(keys, blocks, files, table(spark, sf, "pages")).select("key", "page_id", "url", "title")
 
 
+STORE = rf"""{BM25.replace(f"d as (select doc_id as key, {TOKENS('text')} as w from documents)", f"x as (select 'block:' || id as key, text from (select distinct id, text from page_blocks) union all select 'document:' || id, extracted_text from (select distinct id, extracted_text from page_documents) where trim(coalesce(extracted_text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> ''), d as (select key, {TOKENS('text')} as w from x)")}"""
+
+
+def stored_index(spark: SparkSession, sf: str) -> R.TextIndex:
+    """The text index of all blocks and attached files, written to the shared folder and opened again."""
+    keyed = index_texts(table(spark, sf, "page_blocks").dropDuplicates(["id"]), table(spark, sf, "page_documents").dropDuplicates(["id"]))
+    path = shared_path(spark)
+    R.write_text_index(keyed, path)
+    return R.open_text_index(spark, path)
+
+
+@query("search_blocks_topk", f"with {STORE} select query_id, key, score, rank from th")
+def search_blocks_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """R01 over every block and attached file, through the stored index."""
+    return R.bm25(asked(spark, sf), stored_index(spark, sf))
+
+
 @query(
-    "search_hydrate_all",
-    r"""with p as (select distinct id, url, title from pages)
-        select 'block:' || b.id as key, p.id as page_id, p.url, p.title from (select distinct id, page_id from page_blocks) b join p on p.id = b.page_id
-        union all select 'document:' || d.id, p.id, d.url, d.description from (select distinct id, page_id, url, description from page_documents) d join p on p.id = d.page_id""",
+    "search_blocks_context",
+    f"""with {STORE},
+        p as (select distinct id, url, title from pages),
+        hb as (select th.query_id, th.key, round(1.0 / (60 + rank), 6) as fusion, 'block' as kind, b.page_id, p.url, p.title, b.text
+               from th join (select distinct id, page_id, text from page_blocks) b on th.key = 'block:' || b.id join p on p.id = b.page_id
+               union all select th.query_id, th.key, round(1.0 / (60 + rank), 6), 'document', d.page_id, d.url, d.description, d.extracted_text
+               from th join (select distinct id, page_id, url, description, extracted_text from page_documents) d on th.key = 'document:' || d.id join p on p.id = d.page_id),
+        op as (select * from (select *, row_number() over (partition by query_id, kind, case when kind = 'block' then page_id else key end order by fusion desc, key) as n from hb) where n = 1),
+        rk as (select *, row_number() over (partition by query_id order by fusion desc, key) as place from op),
+        lx as (select rk.*, list_distinct({TOKENS('q.title')}) as qw, list_distinct({TOKENS('rk.text')}) as tw
+               from rk left join (select doc_id, title from documents where doc_id % 20 = 0 and title is not null) q on q.doc_id = rk.query_id),
+        fn as (select *, case when place <= 8 then case when len(qw) > 0 then round(len(list_intersect(qw, tw)) / len(qw), 6) else 0.0 end else fusion end as score_final from lx),
+        tp as (select * from (select *, row_number() over (partition by query_id order by score_final desc, key) as num from fn) where num <= 4),
+        pg as (select page_id, string_agg(coalesce(text, ''), chr(10) order by ord, id) as page from (select distinct id, page_id, ord, text from page_blocks) group by 1),
+        fl as (select 'document:' || id as key, extracted_text as file, description as own from (select distinct id, extracted_text, description from page_documents)),
+        ab as (select url, min(description) as about from page_documents group by 1)
+        select query_id, cast(num as int) as num, tp.key, tp.url, '[' || num || '] ' || coalesce(tp.url, '') || chr(10) || 'title: ' || coalesce(title, '') || chr(10)
+            || case when trim(coalesce(case when kind = 'block' then about else own end, '')) <> '' then 'description: ' || case when kind = 'block' then about else own end || chr(10) else '' end
+            || 'content: ' || coalesce(case when kind = 'block' then page else file end, '') as entry
+        from tp left join pg using (page_id) left join fl on fl.key = tp.key left join ab on ab.url = tp.url""",
 )
-def search_hydrate_all(spark: SparkSession, sf: str) -> DataFrame:
-    """R03, R04 over every block and document."""
-    blocks, files = table(spark, sf, "page_blocks"), table(spark, sf, "page_documents")
-    keys = blocks.select(F.concat(F.lit("block:"), "id").alias("key")).union(files.select(F.concat(F.lit("document:"), "id"))).distinct()
-    return R.hydrate(keys, blocks, files, table(spark, sf, "pages")).select("key", "page_id", "url", "title")
+def search_blocks_context(spark: SparkSession, sf: str) -> DataFrame:
+    """R01-R11 over every block and attached file, with full sources."""
+    blocks, files, pages = (table(spark, sf, t) for t in ("page_blocks", "page_documents", "pages"))
+    found = R.bm25(asked(spark, sf), stored_index(spark, sf))
+    none = found.limit(0)
+    hits = R.hydrate(R.fuse(found, none), blocks, files, pages)
+    return R.full_context(R.rerank(R.one_for_page(hits), asked(spark, sf)), blocks, files)
 
 
 @query("embed_hashed")

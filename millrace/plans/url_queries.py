@@ -49,18 +49,28 @@ def url_normalize_parser(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").dropDuplicates(["id"]).select("id", U.normalize_for_parser(F.col("url")).alias("url"))
 
 
-@query(
-    "url_filter_chain",
-    rf"""with u as (select distinct href as url from page_links union select distinct url from pages),
+#: SQL of K01-K05 over ``{urls}``, and of K06-K08 over ``{links}``.
+ALLOWED = rf"""with u as ({{urls}}),
         f as (select url,
             not regexp_matches(regexp_replace(lower(url), '[?#].*$', ''), '\.({'|'.join(U.BLOCKED)})$') as extension,
-            not (regexp_matches(url, '(?i)/cdn-cgi/') or regexp_matches(url, '(?i)/(?:calendar|events?)/[0-9]{{4}}')
+            not (regexp_matches(url, '(?i)/cdn-cgi/') or regexp_matches(url, '(?i)/(?:calendar|events?)/[0-9]{{{{4}}}}')
                  or coalesce(try_cast(nullif(regexp_extract(url, '(?i)[?&/](?:page|p)[=/]([0-9]+)', 1), '') as hugeint) > 50, false)
                  or len(list_filter({KEYS('url')}, lambda k: lower(k) in {in_list(U.TRAP_KEYS)})) > 0) as trap,
             len({KEYS('url')}) <= 4 as parameters,
-            not regexp_matches(regexp_extract(url, '^(?:[^/?#]*//[^/?#]*)?([^?#]*)', 1), '{U.NO_CONTENT}') as content from u)
-        select *, extension and trap and parameters and content as allowed from f""",
-)
+            not regexp_matches(url_decode(regexp_extract(url, '^(?:[^/?#]*//[^/?#]*)?([^?#]*)', 1)), '{U.NO_CONTENT}') as content from u)
+        select *, extension and trap and parameters and content as allowed from f"""
+SCORE = rf"""with l as (select *, lower(trim(coalesce(anchor_text, ''))) as a,
+                list_filter(string_split(regexp_replace(regexp_replace(lower(href), '^[^:]*://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') as seg
+            from ({{links}})),
+        b as (select *, list_filter(list_transform(seg, lambda x: case when regexp_matches(x, '{'|'.join(U.NOISY)}') then -0.15
+                when regexp_matches(x, '{'|'.join(U.VALUABLE)}') then 0.2 end), lambda x: x is not null) as bonus,
+                len(list_filter(regexp_split_to_array(a, '[\t\n\x0B\f\r ]+'), lambda x: x <> '')) as words from l),
+        s as (select *, cast(greatest(least(greatest(0.1, 1 - len(seg) * 0.12) + coalesce(bonus[len(bonus)], 0), 1), 0) as double) as url_score,
+                cast(case when strlen(a) < 2 then 0.3 when a in {in_list(U.EMPTY_ANCHORS)} then 0.1 when words between 2 and 8 then 1.0 when words = 1 then 0.6 else 0.7 end as double) as anchor_score from b)
+        select * exclude (a, seg, bonus, words, url_score), round(url_score, 6) as url_score, round(0.5 * url_score + 0.5 * anchor_score, 6) as score from s"""
+
+
+@query("url_filter_chain", ALLOWED.format(urls="select distinct href as url from page_links union select distinct url from pages"))
 def url_filter_chain(spark: SparkSession, sf: str) -> DataFrame:
     urls = table(spark, sf, "page_links").select(F.col("href").alias("url")).union(table(spark, sf, "pages").select("url")).distinct()
     u = F.col("url")
@@ -74,18 +84,7 @@ def url_filter_chain(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "url_score",
-    rf"""with l as (select id, href, lower(trim(coalesce(anchor_text, ''))) as a,
-                list_filter(string_split(regexp_replace(regexp_replace(lower(href), '^[^:]*://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') as seg
-            from {LINKS}),
-        b as (select *, list_filter(list_transform(seg, lambda x: case when regexp_matches(x, '{'|'.join(U.NOISY)}') then -0.15
-                when regexp_matches(x, '{'|'.join(U.VALUABLE)}') then 0.2 end), lambda x: x is not null) as bonus,
-                len(list_filter(regexp_split_to_array(a, '[\t\n\x0B\f\r ]+'), lambda x: x <> '')) as words from l),
-        s as (select id, cast(greatest(least(greatest(0.1, 1 - len(seg) * 0.12) + coalesce(bonus[len(bonus)], 0), 1), 0) as double) as url_score,
-                cast(case when strlen(a) < 2 then 0.3 when a in {in_list(U.EMPTY_ANCHORS)} then 0.1 when words between 2 and 8 then 1.0 when words = 1 then 0.6 else 0.7 end as double) as anchor_score from b)
-        select id, round(url_score, 6) as url_score, anchor_score, round(0.5 * url_score + 0.5 * anchor_score, 6) as score from s""",
-)
+@query("url_score", f"select id, url_score, anchor_score, score from ({SCORE.format(links=f'select * from {LINKS}')})")
 def url_score(spark: SparkSession, sf: str) -> DataFrame:
     links = table(spark, sf, "page_links").dropDuplicates(["id"])
     h, a = F.col("href"), F.col("anchor_text")

@@ -54,12 +54,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset, one of our own."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or, in a local session where that is unset, one of our own."""
+    conf = spark.sparkContext.getConf()
+    given = conf.get("spark.checkpoint.dir", None) or conf.get("spark.millrace.shared.dir", None)
     if given:
         return given
-    own = spark.sparkContext.getConf().get("spark.millrace.shared.dir", None)
-    return own or f"file://{os.path.join(tempfile.gettempdir(), 'millrace-shared')}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'millrace-shared')}"
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -69,11 +79,8 @@ def materialize(df: DataFrame) -> DataFrame:
     are deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,9 +89,23 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes of a table's values in memory: its rows times their fixed part, and all that varies."""
+    fixed, varying = 8, F.lit(0)
+    for name, kind in df.dtypes:
+        fixed += 16
+        if kind in ("string", "binary"):
+            varying = varying + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            varying = varying + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    row = df.agg(F.count("*").alias("n"), F.sum(varying.cast("long")).alias("v")).first()
+    return row["n"] * fixed + (row["v"] or 0)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast only where the estimate proves the table small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Hint a broadcast only of a table that was measured to be small; otherwise leave the join to shuffle. The optimizer's
+    estimate, which is of compressed files, only tells which tables are worth measuring."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit and measured_bytes(df) <= limit else df
 
 
 def once(df: DataFrame, *keys: str) -> DataFrame:

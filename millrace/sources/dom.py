@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+from datetime import datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -311,13 +312,18 @@ def segment(root: Node, long_items: bool = True) -> list[dict]:
     for n, _, _ in rows:
         for p in n.up():
             counts[id(p)] = counts.get(id(p), 0) + 1
+    return _rows(rows, order, counts)
+
+
+def _rows(rows: list[tuple[Node, str, str]], order: dict[int, int], counts: dict[int, int]) -> list[dict]:
+    """The blocks with all that is told of them; ``counts`` has the blocks below each element that forms a group."""
     out = []
     for i, (n, text, tag) in enumerate(rows):
         level = int(tag[1]) if tag in HEADINGS else 0 if tag == "dt" else None
         kind = "heading" if level is not None else "listItem" if tag in ("li", "dd") else "paragraph"
         words = _words(text)
         linked = sum(_words(a.text()) for a in n.below() if a.tag == "a")
-        group = next((order[id(p)] for p in n.up() if counts[id(p)] >= 2), -1)
+        group = next((order[id(p)] for p in n.up() if counts.get(id(p), 0) >= 2), -1)
         out.append(
             {
                 "idx": i, "html_id": n.attrs.get("id") or None, "tag": tag, "type": kind, "heading_level": level, "text": text,
@@ -328,6 +334,45 @@ def segment(root: Node, long_items: bool = True) -> list[dict]:
     return out
 
 
+_stamp = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)")
+
+
+def _time(text: str | None) -> str | None:
+    """A time by RFC 3339, or none."""
+    if not text or not _stamp.fullmatch(text):
+        return None
+    try:
+        datetime.fromisoformat(re.sub(r"\.\d+", "", text).replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return text
+
+
+def content_root(root: Node) -> Node:
+    """The first main element, else the first article, else the body, else all."""
+    every = list(root.walk())
+    return next((n for tag in ("main", "article", "body") for n in every if n.tag == tag), root)
+
+
+def segment_plain(root: Node) -> list[dict]:
+    """The older segmenter: headings, paragraphs, items, quotations, code and cells that lie in none of them, then div
+    elements without such elements inside, in this order; texts are left as they are."""
+    order, taken = {id(n): i for i, n in enumerate(root.walk())}, []
+    seen: set[int] = set()
+    kinds = {*HEADINGS, "p", "li", "blockquote", "pre", "td"}
+
+    def collect(found) -> None:
+        for n in found:
+            text = n.text()
+            if text and id(n) not in seen and not any(id(p) in seen for p in n.up()):
+                seen.add(id(n))
+                taken.append((n, text, n.tag))
+
+    collect(n for n in root.below() if n.tag in kinds)
+    collect(n for n in root.below() if n.tag == "div" and not any(x.tag in kinds for x in n.below()))
+    return _rows(taken, order, {})
+
+
 def metadata(root: Node) -> dict:
     """Title, description, preview, icon, language, last change."""
     metas = [n for n in root.walk() if n.tag == "meta"]
@@ -343,7 +388,8 @@ def metadata(root: Node) -> dict:
         "preview_url": meta("property", "og:image"),
         "icon_url": icons.get("icon") or icons.get("shortcut icon"),
         "language": next((n.attrs.get("lang") or None for n in root.walk() if n.tag == "html"), None),
-        "last_modified": meta("property", "article:modified_time") or meta("http-equiv", "last-modified"),
+        "last_modified": _time(meta("property", "article:modified_time") or meta("http-equiv", "last-modified")),
+        "page_type": "unknown",  # H03: no analyzer tells kinds of pages apart yet
     }
 
 
@@ -409,11 +455,11 @@ _BLOCK = (
     "dom_depth:int,position:double,ancestors:array<string>,group_idx:int>>"
 )
 _PAGE = (
-    "title string, description string, preview_url string, icon_url string, language string, last_modified string, "
+    "title string, description string, preview_url string, icon_url string, language string, last_modified string, page_type string, "
     f"blocks {_BLOCK}, links array<struct<href:string,type:string,anchor_text:string,position:int>>, "
     "documents array<struct<url:string,mime_type:string,description:string,description_source:string>>, error string"
 )
-_FIELDS = [f.split()[0] for f in "title description preview_url icon_url language last_modified blocks links documents error".split()]
+_FIELDS = [f.split()[0] for f in "title description preview_url icon_url language last_modified page_type blocks links documents error".split()]
 
 
 def parse_page(url: str | None, text: str | None, with_links: bool = True) -> dict:
@@ -441,4 +487,5 @@ def parse_pages(pages: DataFrame, url: str = "url", html: str = "html", with_lin
                 rows.append({"error": f"PARSE_ERROR: {type(e).__name__}"})
         return pd.DataFrame([{f: r.get(f) for f in _FIELDS} for r in rows], columns=_FIELDS, dtype=object)
 
-    return pages.withColumn("page", parse(F.col(url), F.col(html)))
+    out = pages.withColumn("page", parse(F.col(url), F.col(html)))
+    return out.withColumn("page", F.col("page").withField("last_modified", F.try_to_timestamp(F.col("page.last_modified"))))

@@ -1,4 +1,4 @@
-"""Streams of crawl and search events, and their batch twins.
+"""Streams of crawl and search events, and their batch twins.
 
 Event time stands for the processing time of a live crawl, so that a replay gives the same result.
 """
@@ -112,6 +112,43 @@ def over_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataF
     return requests.withColumn("_at", at).withColumn("recent", F.count("*").over(span)).withColumn("refused", F.col("recent") > limit).drop("_at")
 
 
+def drain_parsed(progress: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(drained, rest) of (task, url, status, ...): up to ``limit`` parsed entries of each task leave the table."""
+    order = Window.partitionBy("task", "status").orderBy("url")
+    marked = progress.withColumn("_out", (F.col("status") == "parsed") & (F.row_number().over(order) <= limit))
+    out = F.coalesce("_out", F.lit(False))
+    return marked.filter(out).drop("_out"), marked.filter(~out).drop("_out")
+
+
+def event_order(events: DataFrame) -> DataFrame:
+    """(task, events, ends, in_order): whether a task's events (task, type, seq, ts) are batches numbered from 1 without
+    gaps and then one completion or failure with nothing after it."""
+    end = F.col("type") != "PAGE_BATCH"
+    out = events.groupBy("task").agg(
+        F.count("*").alias("events"),
+        F.sum(end.cast("int")).alias("ends"),
+        F.count(F.when(~end, 1)).alias("_n"),
+        F.countDistinct(F.when(~end, F.col("seq"))).alias("_d"),
+        F.min(F.when(~end, F.col("seq"))).alias("_lo"),
+        F.max(F.when(~end, F.col("seq"))).alias("_hi"),
+        F.max(F.when(~end, F.col("ts"))).alias("_last"),
+        F.min(F.when(end, F.col("ts"))).alias("_end"),
+    )
+    numbered = (F.col("_n") == 0) | ((F.col("_n") == F.col("_d")) & (F.col("_lo") == 1) & (F.col("_hi") == F.col("_n")))
+    closed = (F.col("ends") == 1) & (F.col("_last").isNull() | (F.col("_last") <= F.col("_end")))
+    return out.select("task", "events", "ends", (numbered & closed).alias("in_order"))
+
+
+def crawl_events(pages: DataFrame, batched: bool = True, size: int = MAX_SIZE, age: float = MAX_AGE) -> DataFrame:
+    """(task, type, seq, pages): what a crawl tells of its pages (task, id, ts). In batch mode each batch is an event and
+    the completion carries none; else the completion carries all."""
+    if not batched:
+        return pages.groupBy("task").agg(F.count("*").cast("int").alias("pages")).select("task", F.lit("TASK_COMPLETED").alias("type"), F.lit(None).cast("int").alias("seq"), "pages")
+    own = micro_batches(pages, size, age).select("task", F.lit("PAGE_BATCH").alias("type"), "seq", F.col("size").alias("pages"))
+    ends = pages.select("task").distinct().select("task", F.lit("TASK_COMPLETED").alias("type"), F.lit(None).cast("int").alias("seq"), F.lit(0).alias("pages"))
+    return own.unionByName(ends)
+
+
 def users(events: DataFrame) -> DataFrame:
     """(user_id, first_seen, last_seen, first_event): one row for a user, with what came first."""
     return events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("event_type", F.struct("ts", "event_id")).alias("first_event"))

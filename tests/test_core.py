@@ -26,53 +26,53 @@ def values(spark, rows, column, name="x", kind="string"):
 
 
 ALLOWED = {
-    U.allowed_extension: ["/page", "/docs/api", "/page?img=test.jpg", "/doc.pdf"],
-    U.no_trap: ["/docs", "/page/5", "/?page=10", "/?q=search", "/page/050"],
-    lambda u: U.few_parameters(u, 3): ["/page", "/?a=1&b=2&c=3"],
-    U.has_content: ["/docs", "/blog/login-guide"],
+    U.allowed_extension: ["/novosti", "/spravka/raspisanie", "/karta?foto=vid.jpg", "/otchet.pdf", "/jpg"],
+    U.no_trap: ["/raspisanie", "/page/7", "/?page=50", "/?poisk=most", "/page/0009", "/events/x2024"],
+    lambda u: U.few_parameters(u, 3): ["/most", "/?x=1&y=2&z=3", "/?x=1&x=2&x=3&x=4"],
+    U.has_content: ["/raspisanie", "/zametki/how-to-login-here", "/caf%C3%A9"],
 }
 REFUSED = {
-    U.allowed_extension: ["/image.jpg", "/image.PNG", "/video.mp4", "/archive.zip", "/style.css", "/app.js"],
-    U.no_trap: ["/page/51", "/?page=100", "/cdn-cgi/trace", "/calendar/2024", "/events/2024", "/?sort=date", "/?order=asc", "/?filter=new", "/page/99999999999999999999"],
-    lambda u: U.few_parameters(u, 3): ["/?a=1&b=2&c=3&d=4"],
-    U.has_content: ["/login", "/signin", "/signup", "/logout", "/cart", "/checkout", "/print/article", "/feed.xml", "/rss.xml", "/sitemap.xml", "/robots.txt"],
+    U.allowed_extension: ["/vid.jpg", "/Vid.PNG?w=3", "/zapis.mp4#t", "/vse.zip", "/vid.css", "/menu.js"],
+    U.no_trap: ["/page/63", "/?page=51", "/cdn-cgi/l/email", "/calendar/1999", "/event/2031/5", "/?sort=name", "/?a=1&Order=up", "/?filter=x", "/page/99999999999999999999"],
+    lambda u: U.few_parameters(u, 3): ["/?v=1&x=2&y=3&z=4"],
+    U.has_content: ["/login", "/signin/", "/signup", "/logout", "/cart", "/checkout", "/print/7", "/feed.xml", "/rss.xml", "/sitemap.xml", "/robots.txt", "/%6Cogin"],
 }
 
 
 def test_url_filters(spark):
     for want, cases in ((True, ALLOWED), (False, REFUSED)):
         for rule, paths in cases.items():
-            urls = ["https://example.com" + p for p in paths]
+            urls = ["https://lurepo.example" + p for p in paths]
             assert values(spark, urls, rule(F.col("x"))) == [want] * len(urls), paths
 
 
 def test_link_scores(spark):
-    urls = ["/a/b/c/d/e/f", "/", "/docs", "/category/author", "/docs/api"]
-    got = values(spark, ["https://example.com" + u for u in urls], F.round(U.url_score(F.col("x")), 6))
+    urls = ["/r/s/t/u/v/w", "/", "/docs", "/category/author", "/docs/most"]
+    got = values(spark, ["https://lurepo.example" + u for u in urls], F.round(U.url_score(F.col("x")), 6))
     assert got == pytest.approx([0.28, 1.0, 1.0, 0.61, 0.96])
-    anchors = ["", "read more", "next", "Introduction to Machine Learning", "Docs", "#", "→", None, "a b c d e f g h i"]
+    anchors = ["", "read more", "next", "The old bridge at night", "Bridges", "#", "→", None, "a b c d e f g h i"]
     assert values(spark, anchors, U.anchor_score(F.col("x"))) == [0.3, 0.1, 0.1, 1.0, 0.6, 0.3, 0.1, 0.3, 0.7]
 
 
 def test_url_forms(spark):
     pairs = {
-        "https://example.com/page?utm_source=twitter&utm_medium=social": "https://example.com/page",
-        "https://example.com/page?q=test&utm_campaign=spring": "https://example.com/page?q=test",
-        "https://example.com/page?q=test#section": "https://example.com/page?q=test",
-        "https://example.com/page?b=2&a=1&UTM_x=1": "https://example.com/page?a=1&b=2",
+        "https://lurepo.example/most?utm_source=mail&utm_term=x": "https://lurepo.example/most",
+        "https://lurepo.example/most?kto=ya&UTM_id=7": "https://lurepo.example/most?kto=ya",
+        "https://lurepo.example/most?kto=ya#verh": "https://lurepo.example/most?kto=ya",
+        "https://lurepo.example/most?z=2&b=1": "https://lurepo.example/most?b=1&z=2",
     }
     assert values(spark, list(pairs), U.normalize_for_parser(F.col("x"))) == list(pairs.values())
     stored = {
-        "HTTP://User@Example.COM:8080/A/./b/../C?x=1#f": "http://example.com:8080/a/c",
-        "//Example.com/x": "https://example.com/x",
+        "HTTP://User@Lurepo.EXAMPLE:8080/A/./b/../C?x=1#f": "http://lurepo.example:8080/a/c",
+        "//Lurepo.example/x": "https://lurepo.example/x",
         "/no/host": None,
         "mailto:x": None,
-        "https://example.com": "https://example.com",
+        "https://lurepo.example": "https://lurepo.example",
         None: None,
     }
     assert values(spark, list(stored), U.normalize_for_store(F.col("x"))) == list(stored.values())
-    hosts = ["https://example.com/a", "https://sub.example.com", "https://notexample.com", "/rel", "https://EXAMPLE.com"]
-    assert values(spark, hosts, U.classify_link(F.col("x"), F.lit("example.com"))) == ["internal", "internal", "external", "internal", "internal"]
+    hosts = ["https://lurepo.example/a", "https://sub.lurepo.example", "https://notlurepo.example", "/rel", "https://LUREPO.example"]
+    assert values(spark, hosts, U.classify_link(F.col("x"), F.lit("lurepo.example"))) == ["internal", "internal", "external", "internal", "internal"]
     assert values(spark, ["a/b.PDF", "a.pdf?x=1", "x.jpg", "n"], U.mime_type(F.col("x"))) == ["application/pdf", "application/octet-stream", "image/jpeg", "application/octet-stream"]
     assert values(spark, ["Привет мир hello", "x", None], U.anchor_position(F.col("x"), F.lit("hello"))) == [11, 0, 0]
     assert len(values(spark, ["aaaaaaaaaahellobbbbbbbbbb"], U.anchor_snippet(F.col("x"), F.lit("hello"), 5))[0]) == 15
@@ -164,6 +164,31 @@ def test_chunks(spark):
     assert last["text"].endswith("b short")
 
 
+def test_folds_keep_pages_apart(spark):
+    rows = [(p, i, "p", "listItem", None, t, 0.0, 0.0, [], None, -1) for p in ("a", "b", "c") for i, t in enumerate(["x", None, "y " * 299, "z"])]
+    got = [tuple(r) for r in M.join_lists(spark.createDataFrame(rows, RAW)).orderBy("page_id", "idx").select("page_id", "idx", F.length("text")).collect()]
+    assert got == [(p, i, n) for p in ("a", "b", "c") for i, n in enumerate([2 + 1 + 598 - 1 + 1, 1])]
+
+
+def walk_back(rows):
+    """The headings over each block by their definition, one block at a time."""
+    out = []
+    for i, (kind, level, text) in enumerate(rows):
+        least, hit = 7, kind == "heading" and text == "Notes"
+        for k, lv, t in reversed(rows[:i]):
+            if k == "heading" and (lv or 0) < least:
+                least, hit = lv or 0, hit or t == "Notes"
+        out.append(not hit)
+    return out
+
+
+def test_terminal_sections(spark):
+    rng = np.random.default_rng(2)
+    rows = [("heading", int(rng.integers(0, 7)), "Notes" if rng.random() < 0.2 else "Part") if rng.random() < 0.6 else ("paragraph", None, "x") for _ in range(200)]
+    got = [r["outside"] for r in B.outside_terminal(raw(spark, rows)).orderBy("idx").collect()]
+    assert got == walk_back(rows) and True in got and False in got
+
+
 def test_delta(spark):
     rows = lambda n, t="x": [("p", t)] * n
     for old, new in ((2, 3), (3, 1), (0, 2), (2, 0)):
@@ -243,11 +268,11 @@ def test_pruning(style):
 
 
 def test_broken_html():
-    page = dom.parse_page("https://example.com/x", '<p><b>one<br>two<p>three<script>"</p>"</script><ul><li>a<li>b</ul>&amp;<!-- c --><table><tr><td>1<td>2</table>')
+    page = dom.parse_page("https://lurepo.example/x", '<p><b>one<br>two<p>three<script>"</p>"</script><ul><li>a<li>b</ul>&amp;<!-- c --><table><tr><td>1<td>2</table>')
     assert [b["text"] for b in page["blocks"]] == ["onetwo", "three", "a", "b", "1, 2."]
     assert page["title"] == "Untitled"
     junk = "".join(f'<a href="{h}">x</a>' for h in ("#", "javascript:void(0)", "mailto:a@b", "tel:1", "/real", "/real#f", "f.pdf", "http://[bad"))
-    assert [x["href"] for x in dom.parse_page("https://example.com/x", junk)["links"]][0] == "https://example.com/real"
+    assert [x["href"] for x in dom.parse_page("https://lurepo.example/x", junk)["links"]][0] == "https://lurepo.example/real"
     assert dom.parse_page("u", "")["blocks"] == [] and dom.parse_page("u", None) == {"error": "PARSE_ERROR"}
 
 
