@@ -190,6 +190,33 @@ def test_main_body_of_large_site(spark):
     assert main_body.furniture_blocks(streams).count() == 0
 
 
+def test_wrappers(spark):
+    """A constant, an optional, a repeated group and a slot of one host, with pages in several chunks."""
+    rows = []
+    for i in range(200):
+        lines = ["Home of the club", *(["Members only"] if i % 3 == 0 else []), *["Read more here"] * (i % 4), f"Advert. Buy the {'abcdefgh'[i % 8] * 3} lamp now", f"own words {i} x{i} y{i}"]
+        rows += [(f"p{i}-{o}", f"p{i}", o, "paragraph", t, "s") for o, t in enumerate(lines)]
+    streams = main_body.page_streams(spark.createDataFrame(rows + rows[:40], BLOCK), spark.createDataFrame([], SCRAPE))
+    items = main_body.host_wrappers(streams.mapInArrow(main_body._segments, main_body._SCHEMA)).collect()
+    by_pages = {r["pages"]: r for r in items if r["kind"] == "t"}
+    home, members, more = by_pages[200], by_pages[67], by_pages[150]
+    assert not home["optional"] and not home["repeated"] and home["lines"] == 200
+    assert members["optional"] and not members["repeated"] and home["place"] < members["place"]
+    assert more["repeated"] and more["lines"] == 300
+    slot = next(r for r in items if r["kind"] == "p" and r["pages"] == 200)
+    assert slot["least"] < slot["most"]
+    found = {r["page_key"] for r in main_body.furniture_blocks(streams).collect()}
+    assert found == {f"page:p{i}" for i in range(200)}
+
+
+def test_letter_case(spark):
+    rows = [(f"p{i}-0", f"p{i}", 0, "paragraph", "Published by Kelmo Tarvi for the town", "s") for i in range(15)]
+    rows += [("q-0", "q", 0, "paragraph", "PUBLISHED BY KELMO TARVI FOR THE TOWN", "s"), ("r-0", "r", 0, "paragraph", "PUBLISHED BY KELMO TARVI FOR A FRIEND", "s")]
+    streams = main_body.page_streams(spark.createDataFrame(rows, BLOCK), spark.createDataFrame([], SCRAPE))
+    got = {r["page_key"] for r in main_body.furniture_blocks(streams).collect()}
+    assert "page:q" in got and "page:r" not in got and len(got) == 16
+
+
 def test_residue(spark):
     bad = ["404 Not Found", "СТРАНИЦА НЕ НАЙДЕНА!", "Please  enable JavaScript to view this page. Incident 12", "Lorem ipsum dolor sit amet.", "The {{ doc.name }} of ${city}", "[object Object]"]
     good = ["How to fix error 404 in Kelbar", "In a template of X the expression {{ name }} is replaced by a value.", "Untitled", "", None, "The 404 page was redesigned by the team.", "{ x: 1 }"]
