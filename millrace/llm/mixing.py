@@ -4,7 +4,7 @@ Hierarchical budgeting: the leaves of a domain-language-source tree are the name
 the sum of its leaves' target shares, and budgets go down the tree. Where a child can't use its budget, because its
 documents times their repeats run out, the rest goes to its siblings, and only what a whole subtree can't use
 goes to the siblings of an ancestor. Each leaf then takes whole epochs and a token-prefix of one more, each
-epoch in its own seeded order.
+epoch in its own seeded order, and of the documents after the prefix the one that fills the rest best.
 
 Without a total, the mix is the largest one in which no source that has documents falls short.
 """
@@ -141,11 +141,19 @@ def mix_sources(
     bins = bins.select("source", "bin", "n", before.alias("before"))
     part = part.join(bins, ["source", "bin"])
     below = part.filter(F.col("before") + F.col("n") <= F.col("rest"))
-    cut = part.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-    so_far = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("at", "doc_id")) - F.col("n_tokens")
-    cut = cut.withColumn("so_far", so_far).filter(F.col("so_far") + F.col("n_tokens") / 2 <= F.col("rest"))
+    cut = part.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
+    so_far = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("at", "doc_id"))
+    cut = cut.withColumn("so_far", so_far).filter(F.col("so_far") <= F.col("rest"))
     keep = ["doc_id", "source", "epoch", "n_tokens"]
-    mix = materialize(full.select(keep).unionByName(below.select(keep)).unionByName(cut.select(keep)))
+    taken = materialize(below.select(keep).unionByName(cut.select(keep)))
+    # of the documents after the prefix, the one that fills what is left best, if it brings the source nearer
+    got = taken.groupBy("source").agg(F.sum("n_tokens").alias("got"))
+    gap = wanted.filter("rest > 0").join(got, "source", "left").select("source", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
+    after = part.join(broadcast_if_small(gap), "source").join(taken.select("doc_id"), "doc_id", "left_anti")
+    miss = F.abs(F.col("n_tokens") - F.col("gap"))
+    best = after.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "at", "doc_id", "epoch", "n_tokens")).alias("b"))
+    last = best.select("b.doc_id", "source", "b.epoch", "b.n_tokens")
+    mix = materialize(full.select(keep).unionByName(taken).unionByName(last))
 
     used = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n"))
     used = used.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
