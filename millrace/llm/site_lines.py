@@ -6,7 +6,7 @@ five-word shingles name the buckets within its site. A line shorter than five wo
 on many pages is a cluster of near-duplicate lines; every line in it goes.
 
 Pages of a bucket or key are counted in two steps, distinct pairs first, so that neither a site with a third of
-all lines nor a menu on all its pages gathers in one task. The join back to the lines is salted.
+all lines nor a menu on all its pages gathers in one task.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, salted
+from ..runtime import materialize
 from . import textkernel as tk
 
 SHINGLE, BANDS, ROWS = 5, 4, 4
-SALTS = 16
 
 _hashes = tk.MaskedHashes()
 
@@ -101,9 +100,8 @@ def repeated_lines(blocks: DataFrame, pages: DataFrame, min_pages: int = 8) -> D
     found = lines.select("line_key", F.explode("buckets").alias("bucket")).distinct().join(wide, "bucket")
     found = found.groupBy("line_key").agg(F.max(F.struct("n", "bucket")).alias("best"))
     found = found.join(exact, "line_key").select("line_key", "pages", F.col("best.bucket").alias("cluster"), F.col("best.n").alias("cluster_pages"))
-    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = lines.select("block_id", "line_no", "source_id", "line_key", salted("block_id", SALTS).alias("salt"))
-    out = keyed.join(spread, ["line_key", "salt"]).dropDuplicates(["block_id", "line_no"])
+    # a line on all pages of a site makes a skewed partition on the lines' side only, which adaptive execution splits by size
+    out = lines.select("block_id", "line_no", "source_id", "line_key").join(found, "line_key").dropDuplicates(["block_id", "line_no"])
     return out.select("block_id", "line_no", "source_id", "pages", "cluster", "cluster_pages")
 
 
