@@ -25,6 +25,8 @@ from ..runtime import materialize
 from . import textkernel as tk
 
 ROUNDS = 8
+#: Most labelled sentences that the model is fitted on, in the order of a hash.
+MOST_SAMPLES = 100_000
 #: Log-likelihood that each further language must add to a text's model.
 PENALTY = 9.0
 #: Cost of a change of language inside a sentence, and at the end of a sentence, line or quotation.
@@ -306,9 +308,10 @@ def _infer(model, least: int):
 
 
 def fit(samples: DataFrame) -> NgramModel:
-    """The model of a table of labelled clean sentences (lang, text), which is small and fixed."""
-    rows = samples.filter("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").collect()
-    return NgramModel([(r["lang"], r["text"]) for r in rows])
+    """The model of a table of labelled clean sentences (lang, text), of at most ``MOST_SAMPLES`` of them."""
+    rows = samples.filter("lang is not null and text is not null").select("lang", "text")
+    rows = rows.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(MOST_SAMPLES).collect()
+    return NgramModel(sorted((r["lang"], r["text"]) for r in rows))
 
 
 def block_languages(blocks: DataFrame, model: NgramModel, least: int = 40) -> DataFrame:
