@@ -253,6 +253,8 @@ def _infer(model, least: int):
                 one = ~several & told
                 total[full[one], best[one]] = letters[one]
                 sure = 1 / (1 + np.exp(spread[:, -2] - spread[:, -1]))
+                bits = 1 << np.arange(k)
+                near = ((spread[:, -1:] - single < PENALTY) * bits).sum(1)
                 for j in np.flatnonzero(one & (letters >= least)).tolist():
                     t = texts[full[j]]
                     begin, end = 0, len(t)
@@ -260,7 +262,7 @@ def _infer(model, least: int):
                         begin += 1
                     while not t[end - 1].isalpha():
                         end -= 1
-                    found[full[j]].append((begin, end, int(best[j]), int(letters[j]), float(sure[j])))
+                    found[full[j]].append((begin, end, int(best[j]), int(letters[j]), float(sure[j]), int(near[j])))
                 many = np.flatnonzero(several)
                 if len(many):
                     sizes = np.diff(cuts)[many]
@@ -287,6 +289,8 @@ def _infer(model, least: int):
                     np.add.at(total, where, run_letters)
                     q = np.exp(em - np.log(np.exp(em).sum(1, keepdims=True)))
                     ends_at = np.append(run_at[1:], len(own)) - 1
+                    sums = np.add.reduceat(em, run_at, axis=0)
+                    close = ((sums[np.arange(len(run_at)), state[run_at]][:, None] - sums < PENALTY) * bits).sum(1)
                     runs = np.add.reduceat(q[np.arange(len(own)), state], run_at) / (ends_at - run_at + 1)
                     spans: tuple = (None, [])
                     for j in np.flatnonzero(run_letters >= least).tolist():
@@ -294,12 +298,12 @@ def _infer(model, least: int):
                         if spans[0] != i:
                             spans = (i, [m.span() for m in tk.letter_runs().finditer(texts[full[many[i]]])])
                         x, y = run_at[j] - own_begins[i], ends_at[j] - own_begins[i]
-                        found[full[many[i]]].append((spans[1][x][0], spans[1][y][1], int(state[run_at[j]]), int(run_letters[j]), float(runs[j])))
+                        found[full[many[i]]].append((spans[1][x][0], spans[1][y][1], int(state[run_at[j]]), int(run_letters[j]), float(runs[j]), int(close[j])))
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k)
             lists = pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1).astype(np.int32)))
             rows, begins_of = tk.flat(found)
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = dict(begin=pa.int32(), end=pa.int32(), lang=pa.int32(), letters=pa.int32(), sure=pa.float32())
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = dict(begin=pa.int32(), end=pa.int32(), lang=pa.int32(), letters=pa.int32(), sure=pa.float32(), near=pa.int32())
             inner = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
             passages = pa.ListArray.from_arrays(pa.array(begins_of.astype(np.int32)), inner)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, passages], names=["block_id", "page_id", "letters", "passages"])
@@ -318,12 +322,12 @@ def block_languages(blocks: DataFrame, model: NgramModel, least: int = 40) -> Da
     """(block_id, page_id, letters, passages): letters of a block's text by language, in the model's order, and its passages.
 
     ``passages`` holds the unbroken ones of ``least`` letters or more: begin and end in the text, the language's number, the
-    letters, and the mean share of the language in a word's likelihood. A null, empty or letterless text, or
+    letters, the mean share of the language in a word's likelihood, and a bit for each language that comes within the penalty. A null, empty or letterless text, or
     one of names alone, counts for no language. A block delivered twice counts once.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(model)
     own = blocks.select(F.col("id").alias("block_id"), "page_id", "text").filter("text is not null")
-    schema = "block_id string, page_id string, letters array<int>, passages array<struct<begin:int,end:int,lang:int,letters:int,sure:float>>"
+    schema = "block_id string, page_id string, letters array<int>, passages array<struct<begin:int,end:int,lang:int,letters:int,sure:float,near:int>>"
     return own.mapInArrow(_infer(shared, least), schema)
 
 
@@ -344,14 +348,19 @@ def page_languages(own: DataFrame, model: NgramModel) -> DataFrame:
 
 def infer_languages(blocks: DataFrame, model: NgramModel, least: int = 40) -> tuple[DataFrame, DataFrame]:
     """Two tables: pages (page_id, lang, confidence), and every passage in another language than its page's
-    (block_id, page_id, begin, end, lang, letters, confidence), text[begin:end] in code points from 0."""
+    (block_id, page_id, begin, end, lang, letters, confidence), text[begin:end] in code points from 0.
+
+    A passage's language is a further one of its page, so it must add more than the penalty to what the page's own
+    language gives the passage; names with few words between tell too little."""
     own = materialize(block_languages(blocks, model, least).dropDuplicates(["block_id"]))
     pages = materialize(page_languages(own, model))
     found = own.filter(F.size("passages") > 0).join(pages.select("page_id", F.col("lang").alias("main")), "page_id")
     names = F.array(*[F.lit(x) for x in model.langs])
     found = found.select("block_id", "page_id", "main", F.explode("passages").alias("o"))
-    found = found.select("block_id", "page_id", "main", "o.begin", "o.end", F.get(names, F.col("o.lang")).alias("lang"), "o.letters", F.col("o.sure").alias("confidence"))
-    return pages, found.filter(F.col("lang") != F.col("main")).drop("main")
+    found = found.select("block_id", "page_id", "main", "o.begin", "o.end", F.get(names, F.col("o.lang")).alias("lang"), "o.letters", F.col("o.sure").alias("confidence"), F.col("o.near").alias("_near"))
+    apart = F.expr("shiftright(_near, _main) & 1 = 0")
+    found = found.withColumn("_main", (F.array_position(names, F.col("main")) - 1).cast("int")).filter((F.col("lang") != F.col("main")) & apart)
+    return pages, found.drop("main", "_main", "_near")
 
 
 def block_cases(passages: DataFrame) -> DataFrame:

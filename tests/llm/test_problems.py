@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import abuse, languages, main_body, mixing, near_pages, residue, site_lines, splitting, tokens
@@ -61,6 +62,21 @@ def test_passages(spark):
     assert got[0][1] == first and all(0 < r["confidence"] <= 1 for r in rows)
 
 
+def test_languages_within_the_penalty(monkeypatch):
+    model = languages.NgramModel(sorted(SAMPLES))
+    texts = [next(t for x, t in SAMPLES if x == lang) for lang in ("en", "de")]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array(["p", "p"]), pa.array(texts)], names=["id", "page_id", "text"])
+    shared = type("Shared", (), {"value": model})
+
+    def near() -> list[int]:
+        return [r["passages"][0]["near"] for b in languages._infer(shared, 40)(iter([batch])) for r in b.to_pylist()]
+
+    en, de = (1 << model.langs.index(x) for x in ("en", "de"))
+    assert near() == [en, de]
+    monkeypatch.setattr(languages, "PENALTY", 1e9)  # now every language comes within it
+    assert near() == [7, 7]
+
+
 # ---- 2
 
 
