@@ -26,6 +26,9 @@ BINS = 1 << 16
 MOST_SOURCES = 100_000
 
 
+KEPT = ["doc_id", "source", "epoch", "n_tokens"]
+
+
 @dataclass
 class Node:
     name: str
@@ -104,6 +107,20 @@ def sized_documents(docs: DataFrame, targets: DataFrame, path: str | None = None
     return about.join(sizes.filter("n_tokens > 0"), "doc_id").dropDuplicates(["doc_id"])
 
 
+def _prefix(part: DataFrame) -> DataFrame:
+    """(doc_id, source, epoch, n_tokens): of each source's documents (..., at, rest) in the order of ``at``, the longest beginning
+    that has at most ``rest`` tokens. Bins of the order are summed first, so that only the one with the cut is sorted."""
+    part = part.withColumn("bin", F.shiftrightunsigned("at", 48).cast("int"))
+    bins = part.groupBy("source", "bin").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("bin")) - F.col("n")
+    part = part.join(bins.select("source", "bin", "n", before.alias("before")), ["source", "bin"])
+    below = part.filter(F.col("before") + F.col("n") <= F.col("rest"))
+    cut = part.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
+    so_far = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("at", "doc_id"))
+    cut = cut.withColumn("so_far", so_far).filter(F.col("so_far") <= F.col("rest"))
+    return materialize(below.select(KEPT).unionByName(cut.select(KEPT)))
+
+
 def mix_sources(
     docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -135,25 +152,20 @@ def mix_sources(
     full = each.filter("whole > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "n_tokens")
     order = F.xxhash64(F.lit(seed), "whole", "doc_id")
     part = each.filter("rest > 0").select("doc_id", "source", F.col("whole").alias("epoch"), "n_tokens", "rest", order.alias("at"))
-    part = part.withColumn("bin", F.shiftrightunsigned("at", 48).cast("int"))
-    bins = part.groupBy("source", "bin", "rest").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("bin")) - F.col("n")
-    bins = bins.select("source", "bin", "n", before.alias("before"))
-    part = part.join(bins, ["source", "bin"])
-    below = part.filter(F.col("before") + F.col("n") <= F.col("rest"))
-    cut = part.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-    so_far = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("at", "doc_id"))
-    cut = cut.withColumn("so_far", so_far).filter(F.col("so_far") <= F.col("rest"))
-    keep = ["doc_id", "source", "epoch", "n_tokens"]
-    taken = materialize(below.select(keep).unionByName(cut.select(keep)))
-    # of the documents after the prefix, the one that fills what is left best, if it brings the source nearer
-    got = taken.groupBy("source").agg(F.sum("n_tokens").alias("got"))
-    gap = wanted.filter("rest > 0").join(got, "source", "left").select("source", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
-    after = part.join(broadcast_if_small(gap), "source").join(taken.select("doc_id"), "doc_id", "left_anti")
+    taken = _prefix(part)
+    # a long document at the cut is passed over once: the order goes on with those that fit into what is left
+    for last in (False, True):
+        got = taken.groupBy("source").agg(F.sum("n_tokens").alias("got"))
+        gap = wanted.filter("rest > 0").join(got, "source", "left").select("source", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
+        after = part.join(broadcast_if_small(gap), "source").join(taken.select("doc_id"), "doc_id", "left_anti")
+        if not last:
+            fit = after.filter("n_tokens <= gap").drop("rest").withColumnRenamed("gap", "rest")
+            taken = materialize(taken.unionByName(_prefix(fit)))
+    # then the one document that fills the rest best, if it brings the source nearer
     miss = F.abs(F.col("n_tokens") - F.col("gap"))
     best = after.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "at", "doc_id", "epoch", "n_tokens")).alias("b"))
     last = best.select("b.doc_id", "source", "b.epoch", "b.n_tokens")
-    mix = materialize(full.select(keep).unionByName(taken).unionByName(last))
+    mix = materialize(full.select(KEPT).unionByName(taken).unionByName(last))
 
     used = mix.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n"))
     used = used.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
