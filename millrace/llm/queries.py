@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     blocks = table(spark, sf, "page_blocks")
-    found = site_lines.repeated_lines(blocks, table(spark, sf, "pages"))
+    found = site_lines.similar_lines(blocks, site_lines.repeated_lines(blocks, table(spark, sf, "pages")))
     return site_lines.remove_lines(blocks.dropDuplicates(["id"]), found).select("id", "text", "removed_lines")
 
 

@@ -117,6 +117,18 @@ def test_repeated_lines(spark):
     clean = {r["id"]: r["text"] for r in site_lines.remove_lines(b.dropDuplicates(["id"]), found).collect()}
     assert clean["b3"] == "Own text number d of page" and clean["c1"] == "© 2020 all rights" and clean["c2"] is None
     assert site_lines.repeated_lines(b.limit(0), pages).count() == 0
+    assert site_lines.similar_lines(b, site_lines.repeated_lines(b.limit(0), pages)).count() == 0
+
+
+def test_similar_lines(spark):
+    notice = "the editors of this small paper do not answer for what its readers write below any of the texts"
+    rows = [(f"a{i}", f"p{i}", 0, f"Report {n}\n{notice}") for i, n in enumerate("Vasko Torma,Pelda Ruvi,Kimor Tal,Zerim Osta,Lunde Fara,Bramo Keld,Ostra Vin,Mirel Dosk,Falko Brun".split(","))]
+    rows += [("b1", "q1", 0, notice + " here"), ("b2", "q2", 0, notice.replace("small", "little").replace("readers", "guests")), ("b3", "q3", 0, None)]
+    pages = spark.createDataFrame([(r[1], "s1", "t", None) for r in rows], PAGE)
+    b = blocks(spark, rows)
+    found = site_lines.similar_lines(b, site_lines.repeated_lines(b, pages))
+    gone = {(r["block_id"], r["line_no"]) for r in found.collect()}
+    assert gone == {(f"a{i}", 1) for i in range(9)} | {("b1", 0)}  # not headings of one form, nor the line with two words changed
 
 
 # ---- 4
