@@ -268,11 +268,13 @@ def citations(answers: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def hashed_embeddings(texts: DataFrame, dims: int = 64) -> DataFrame:
-    """R15 offline: (key, values): signed feature hashing of each text's words, scaled to length one; all zeros for a text
+    """R15 offline: (key, values): signed feature hashing of each text's words by their MD5, scaled to length one; all zeros for a text
     without words. Words are summed by slot before anything is gathered, so a long text costs ``dims`` values."""
     words = texts.select("key", F.explode(tokens(F.col("text"))).alias("w"))
-    sign = F.when(F.pmod(F.crc32(F.reverse("w")), F.lit(2)) == 0, 1).otherwise(-1)
-    slots = words.groupBy("key", F.pmod(F.crc32("w"), F.lit(dims)).cast("int").alias("slot")).agg(F.sum(sign).alias("v"))
+    words = words.select("key", F.md5("w").alias("h"))
+    number = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("long")
+    sign = F.when(number(9) % 2 == 0, 1).otherwise(-1)
+    slots = words.groupBy("key", (number(1) % dims).cast("int").alias("slot")).agg(F.sum(sign).alias("v"))
     packed = slots.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     value = F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).otherwise(F.lit(0.0))

@@ -230,6 +230,17 @@ def search_blocks_context(spark: SparkSession, sf: str) -> DataFrame:
     return R.full_context(R.rerank(R.one_for_page(hits), asked(spark, sf)), blocks, files)
 
 
-@query("embed_hashed")
+HEX = lambda at: f"list_reduce(list_transform(string_split(substring(h, {at}, 8), ''), lambda c: cast(strpos('0123456789abcdef', c) - 1 as bigint)), lambda a, b: a * 16 + b)"
+
+
+@query(
+    "embed_hashed",
+    f"""with w as (select doc_id, md5(unnest({TOKENS('text')})) as h from documents),
+        s as (select doc_id, {HEX(1)} % 64 as slot, sum(case when {HEX(9)} % 2 = 0 then 1 else -1 end) as v from w group by 1, 2),
+        n as (select doc_id, sqrt(sum(v * v)) as norm from s group by 1),
+        e as (select d.doc_id, t.i as slot, coalesce(round(case when norm > 0 then coalesce(v, 0) / norm else 0.0 end, 6), 0.0) as x
+              from documents d, range(64) t(i) left join n on n.doc_id = d.doc_id left join s on s.doc_id = d.doc_id and s.slot = t.i)
+        select doc_id, list(cast(x as double) order by slot) as values from e group by 1""",
+)
 def embed_hashed(spark: SparkSession, sf: str) -> DataFrame:
     return R.hashed_embeddings(texts(spark, sf)).select(F.col("key").alias("doc_id"), F.transform("values", lambda x: F.round(x, 6)).alias("values"))
