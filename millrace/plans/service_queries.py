@@ -16,7 +16,7 @@ from ..registry import query
 from ..runtime import table
 from ..sources.dom import parse_pages
 from ..streaming import crawl as T
-from .url_queries import EXT, HOST, PAGES, map_sql
+from .url_queries import EXT, HOST, ITEMS, PAGES, map_sql
 
 STORE_URL = f"""case when {HOST('u')} <> '' then (case when regexp_extract(u, '{U.PARTS}', 1) = '' then 'https' else lower(regexp_extract(u, '{U.PARTS}', 1)) end) || '://' || {HOST('u')}
     || regexp_extract(u, '{U.PARTS}', 3) || array_to_string(list_reduce(list_transform(string_split(lower(regexp_extract(u, '{U.PARTS}', 4)), '/'), lambda x: [x]),
@@ -307,3 +307,54 @@ def page_times(spark: SparkSession, sf: str) -> DataFrame:
     html = F.concat(F.lit('<html><head><meta property="article:modified_time" content="'), text, F.lit('"></head><body><p>Words</p></body></html>'))
     pages = table(spark, sf, "pages").dropDuplicates(["id"]).select(F.col("id").alias("page_id"), "url", html.alias("html"))
     return parse_pages(pages).select("page_id", "page.page_type", "page.last_modified")
+
+
+@query(
+    "dom_links",
+    f"""with l as (select distinct id, page_id, href from page_links where page_id in (select id from pages) and not regexp_matches(href, '[<>&"]')),
+        x as (select l.*, p.url as base from l join {PAGES} p on p.id = l.page_id where {EXT('href')} not in ({", ".join(f"'{e}'" for e in U.DOCUMENT_TYPES)})),
+        k as (select *, list_filter({ITEMS('href')}, lambda i: not starts_with(lower(i), 'utm_')) as keep from x),
+        n as (select *, regexp_extract(href, '^([^?#]*)', 1) || case when len(keep) > 0 then '?' ||
+                array_to_string(list_transform(list_sort(list_transform(keep, lambda v, i: {{'k': string_split(v, '=')[1], 'i': i, 'v': v}})), lambda s: s.v), '&') else '' end as clean from k)
+        select page_id, clean as href, case when {HOST('href')} = '' or {HOST('href')} = {HOST('base')} or ends_with({HOST('href')}, '.' || {HOST('base')}) then 'internal' else 'external' end as type,
+            id as anchor_text from (select *, row_number() over (partition by page_id, clean order by id) as nth from n) where nth = 1""",
+)
+def dom_links(spark: SparkSession, sf: str) -> DataFrame:
+    """All of a page's links, the first of each URL."""
+    links = table(spark, sf, "page_links").dropDuplicates(["id"]).filter(~F.col("href").rlike('[<>&"]'))
+    item = F.concat(F.lit('<p><a href="'), "href", F.lit('">'), "id", F.lit('</a> <a href="#top">up</a> <a href="mailto:x@y.example">mail</a></p>'))
+    body = links.withColumn("item", item).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("x"))
+    pages = table(spark, sf, "pages").dropDuplicates(["id"]).select(F.col("id").alias("page_id"), "url").join(body, "page_id")
+    html = pages.select("page_id", "url", F.concat(F.lit("<body>"), F.array_join(F.transform("x", lambda s: s["item"]), ""), F.lit("</body>")).alias("html"))
+    return parse_pages(html).select("page_id", F.explode("page.links").alias("l")).select("page_id", "l.href", "l.type", "l.anchor_text")
+
+
+@query(
+    "document_hints",
+    """select distinct id, case when mime_type = 'application/pdf' then 'pdf' when contains(mime_type, 'wordprocessingml') then 'docx'
+        when contains(mime_type, 'spreadsheetml') then 'xlsx' when contains(mime_type, 'vnd.ms-excel') then 'xls' end as hint from page_documents""",
+)
+def document_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """K14."""
+    return table(spark, sf, "page_documents").select("id", K.document_hint(F.col("mime_type")).alias("hint")).distinct()
+
+
+@query(
+    "seed_expansion",
+    """select distinct unnest(case when id < '8' then [source_url, source_url || 'news'] else [regexp_extract(source_url, '^[^/]*//([^/]*)', 1)] end) as url, cast(0 as int) as depth from sources""",
+)
+def seed_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the tasks name their seeds, the others only a domain."""
+    rows = table(spark, sf, "sources")
+    seeds = F.when(F.col("id") < "8", F.array("source_url", F.concat("source_url", F.lit("news"))))
+    return K.seeds(rows.select(seeds.alias("seeds"), F.regexp_extract("source_url", "^[^/]*//([^/]*)", 1).alias("domain")))
+
+
+@query(
+    "documents_cap",
+    """select scrape_id, cast(coalesce(len(documents[1:2]), -1) as int) as kept, documents[1:2][2].url as last from scrapped_pages""",
+)
+def documents_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """T02, with two documents a page."""
+    rows = T.cap_documents(table(spark, sf, "scrapped_pages").select("scrape_id", "documents"), most=2)
+    return rows.select("scrape_id", F.when(F.col("documents").isNull(), -1).otherwise(F.size("documents")).alias("kept"), F.get("documents", F.lit(1))["url"].alias("last"))

@@ -166,6 +166,16 @@ def active_queries(queries: DataFrame, minutes: int = 1) -> DataFrame:
     return queries.withColumn("refused", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp")) < minutes * 60_000_000, F.lit(False)))
 
 
+def queue_source(spark, folder: str, schema: str, files_a_batch: int = 100) -> DataFrame:
+    """A stream of (value, message, ok) from files with one JSON message a line; a message that can't be read stays as text
+    with ``ok`` false, so that ``sink`` puts it aside and the stream goes on."""
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_a_batch).load(folder)
+    read = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    out = lines.withColumn("message", read)
+    ok = F.col("message").isNotNull() & F.col("message._bad").isNull()
+    return out.select("value", F.when(ok, F.col("message").dropFields("_bad")).alias("message"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
 def sink(batches: DataFrame, path: str, checkpoint: str, good: str = "size > 0"):
     """A stream to parquet; rows that fail the check go to a quarantine beside it. Each micro-batch writes its own
     folder by number, so a repeated one overwrites itself."""

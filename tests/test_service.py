@@ -109,3 +109,14 @@ def test_session_rules(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         runtime.shared_dir(Elsewhere())
+
+
+def test_queue_with_quarantine(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"task": "t", "n": 1}\nnot json\n{"task": "u", "n": "x"}\n\n{"task": null}\n')
+    stream = crawl.queue_source(spark, str(tmp_path / "in"), "task string, n int")
+    crawl.sink(stream, str(tmp_path / "out"), str(tmp_path / "check"), "ok").awaitTermination(60)
+    good = spark.read.parquet(str(tmp_path / "out" / "good"))
+    assert sorted((r["message"]["task"], r["message"]["n"]) for r in good.filter("message.task is not null").collect()) == [("t", 1)]
+    bad = {r["value"] for r in spark.read.parquet(str(tmp_path / "out" / "quarantine")).collect()}
+    assert {"not json", '{"task": "u", "n": "x"}'} <= bad and good.count() + len(bad) == 5
