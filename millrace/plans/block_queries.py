@@ -195,6 +195,37 @@ def merge_short(spark: SparkSession, sf: str) -> DataFrame:
     return M.join_short(raw_blocks(spark, sf)).select("page_id", "idx", "type", "text")
 
 
-@query("merge_chain")
+def _step(name: str, source: str, joins: str, between: str, kind: str = "z.type") -> str:
+    """One greedy fold of the chain, with all that a block carries along."""
+    pick = lambda joined, new: f"case when coalesce({joins}, false) then {joined} else {new} end"
+    return f"""{name}_x as (select page_id, row_number() over (partition by page_id order by idx) as i, type, text, coalesce(len({fields_sql('text')}), 0) as n, html_id, heading_level,
+            case when group_idx >= 0 and small then group_idx end as g
+            from (select *, count(*) over (partition by page_id, group_idx) <= 0.4 * count(*) over (partition by page_id) as small from {source})),
+        {name}_g as (select page_id, row_number() over (partition by page_id order by idx) as i, group_idx from {source}),
+        {name}_z(page_id, i, k, type, text, n, g, html_id, heading_level) as (
+            select page_id, i, 0, type, text, n, g, html_id, heading_level from {name}_x where i = 1
+            union all
+            select x.page_id, x.i, {pick('z.k', 'z.k + 1')}, {pick(kind, 'x.type')}, {pick('z.text || ' + between + ' || x.text', 'x.text')}, {pick('z.n + x.n', 'x.n')},
+                {pick('z.g', 'x.g')}, {pick('z.html_id', 'x.html_id')}, {pick('z.heading_level', 'x.heading_level')}
+            from {name}_z z join {name}_x x on x.page_id = z.page_id and x.i = z.i + 1),
+        {name} as (select z.page_id, k as idx, arg_max(type, z.i) as type, arg_max(text, z.i) as text, max(html_id) as html_id, max(heading_level) as heading_level, arg_min(o.group_idx, z.i) as group_idx
+            from {name}_z z join {name}_g o on o.page_id = z.page_id and o.i = z.i group by 1, 2)"""
+
+
+@query(
+    "merge_chain",
+    f"""with recursive {RAW},
+        {_step('m1', 'raw', "z.type = 'listItem' and x.type = 'listItem' and z.n + x.n <= 300", 'chr(10)')},
+        {_step('m2', 'm1', "z.g = x.g and z.type <> 'heading' and x.type <> 'heading' and z.n + x.n <= 300", 'chr(10)')},
+        h as (select *, coalesce(sum(cast(type <> 'heading' as int)) over (partition by page_id order by idx rows between unbounded preceding and 1 preceding), 0) as c from m2),
+        m3 as (select page_id, c as idx, arg_max(type, idx) as type, string_agg(text, chr(10) order by idx) as text, (list(html_id order by idx))[-1] as html_id,
+                      (list(heading_level order by idx))[1] as heading_level, -1 as group_idx from h group by page_id, c having arg_max(type, idx) <> 'heading'),
+        q as (select *, coalesce(len({fields_sql('text')}), 0) <= 40 and regexp_matches(trim(text), '[?？]$') as q from m3),
+        t as (select *, q and not coalesce(lead(q) over o, true) as t, lead(text) over o as next from q window o as (partition by page_id order by idx)),
+        u as (select *, coalesce(lag(t) over (partition by page_id order by idx), false) as gone from t),
+        m4 as (select page_id, idx, case when t then 'paragraph' else type end as type, case when t then text || chr(10) || next else text end as text, html_id, heading_level, group_idx from u where not gone),
+        {_step('m5', 'm4', "z.n < 30 and x.type <> 'heading' and z.n + x.n <= 300", 'chr(10) || chr(10)', "case when z.type = x.type then z.type else 'paragraph' end")}
+        select page_id, cast(idx as int) as idx, type, text, html_id, cast(case when heading_level > 0 then heading_level end as int) as heading_level from m5""",
+)
 def merge_chain(spark: SparkSession, sf: str) -> DataFrame:
     return M.merge_blocks(raw_blocks(spark, sf))
