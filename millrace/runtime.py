@@ -81,7 +81,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read again, before the application ends."""
+    path = getattr(df, "_millrace_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def estimated_bytes(df: DataFrame) -> int:

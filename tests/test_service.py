@@ -104,6 +104,13 @@ def test_session_rules(spark, monkeypatch):
     small = spark.createDataFrame([("x" * 1000, [1, 2])], "a string, b array<int>")
     assert 1000 < runtime.measured_bytes(small) < 2000
 
+    kept = runtime.materialize(small)
+    assert kept.count() == 1 and kept._millrace_path in kept.inputFiles()[0]
+    runtime.release(kept)
+    runtime.release(small)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.schema(small.schema).parquet(kept._millrace_path).count()
+
     class Elsewhere:
         sparkContext = type("C", (), {"master": "spark://x:7077", "getConf": lambda self: type("D", (), {"get": lambda self, k, d: d})()})()
 
