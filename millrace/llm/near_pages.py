@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, release
 from . import textkernel as tk
 
 RUN = 3
@@ -340,6 +340,7 @@ def page_classes(blocks: DataFrame, tenths: int = 7, rounds: int = 30) -> DataFr
         new = new.join(root.groupBy("label").agg(F.min("up").alias("up")), "label", "left")
         new = materialize(new.select("sig", F.least("label", F.coalesce("up", "label")).alias("label")))
         changed = new.join(labels.toDF("sig", "old"), "sig").filter("label <> old").limit(1).count()
+        release(labels)
         labels = new
         if not changed:
             break
