@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import broadcast_if_small, materialize
+from ..runtime import broadcast_if_small, materialize, release
 
 K1, B = 1.2, 0.75
 #: Rows of vectors in one block of the exact search.
@@ -76,8 +76,9 @@ class TextIndex:
 def write_text_index(texts: DataFrame, path: str) -> None:
     """Postings sorted by term in files that don't overlap in terms, so that a search reads only its terms' row groups; a
     frequent term is cut by key. Tokens are worked out once for the postings and once for the lengths."""
-    ordered = postings(texts).repartitionByRange("term", "key").sortWithinPartitions("term", "key")
-    ordered.write.mode("overwrite").parquet(f"{path}/postings")
+    counted = materialize(postings(texts))  # the ranges are sampled first, which would count all words twice
+    counted.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+    release(counted)
     _size(texts).write.mode("overwrite").parquet(f"{path}/size")
 
 
