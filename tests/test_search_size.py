@@ -84,6 +84,7 @@ SHUFFLED = {
     "search_blocks_context": 7,
     "search_blocks_topk": 7,
     "search_hybrid_rrf": 1,
+    "search_source_scoped_post": 1,
     "search_dedupe_by_page": 1,
     "search_prompt": 1,
     "search_rerank_lexical": 1,
