@@ -7,7 +7,8 @@ that follows itself becomes a repeated group; lines that differ in their text bu
 form of title, or all but their first word resolve into a text slot. Wrappers of chunks are merged by host, and those of hosts
 once more, so that what a host shows on few pages is known from other hosts.
 
-An expression belongs to a wrapper when it recurs on enough of a host's pages, or in the wrappers of enough hosts; headings and
+An expression belongs to a wrapper when it recurs on enough of a host's pages, fewer where the alignment finds it in its place,
+or in the wrappers of enough hosts; headings and
 slots that also open sentences inside paragraphs are content. At last, lines are compared with known furniture word by word without
 letter case, as names can't be told in a line in capitals: with all that fits wrappers of many hosts, and their own host's.
 """
@@ -29,6 +30,8 @@ from . import textkernel as tk
 #: An expression is furniture on this share of all sites and at least on so many, or on so many pages of one site.
 SITE_SHARE, LEAST_SITES = 0.01, 4
 LEAST_PAGES = 12
+#: Pages of one site from which an expression that keeps its place in the order of the wrapper is furniture.
+LEAST_ALIGNED = 8
 #: Pages of one host that are aligned with each other in one chunk.
 CHUNK = 64
 #: Share of a form's lines that are headings from which it is a heading's form; below, it isn't.
@@ -184,7 +187,7 @@ def page_streams(blocks: DataFrame, scrapes: DataFrame, pages: DataFrame | None
     return own.unionByName(raw)
 
 
-_ITEM = "host string, kind string, key long, place double, pages int, lines long, headings long, inner long, least long, most long, optional boolean, repeated boolean"
+_ITEM = "host string, kind string, key long, place double, pages int, aligned int, lines long, headings long, inner long, least long, most long, optional boolean, repeated boolean"
 
 
 class _Wrapper:
@@ -236,8 +239,8 @@ class _Wrapper:
             if at is not None:
                 j = bisect_left(tails, at)
                 back[i] = ends[j - 1] if j else None
-                tails[j:] = [at]
-                ends[j:] = [i]
+                tails[j : j + 1] = [at]
+                ends[j : j + 1] = [i]
         i, kept = ends[-1] if ends else None, set()
         while i is not None:
             kept.add(i)
@@ -266,7 +269,8 @@ class _Wrapper:
         for (kind, key), (pages, lines, headings, inner, least, most, _) in self.counts.items():
             at = self.places.get(key)
             place = None if at is None or kind != "t" else bisect_left(self.order, at) / len(self.order)
-            out.append((host, kind, key, place, pages, lines, headings, inner, least, most, self.matched.get(key, 0) + 1 < self.pages, key in self.repeated))
+            aligned = 0 if place is None else self.matched.get(key, 0) + 1  # with the page that brought it in
+            out.append((host, kind, key, place, pages, aligned, lines, headings, inner, least, most, self.matched.get(key, 0) + 1 < self.pages, key in self.repeated))
         return out
 
 
@@ -300,10 +304,10 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_wrappers(segments: DataFrame) -> DataFrame:
-    """(kind, key, host, place, pages, lines, headings, inner, least, most, optional, repeated): each host's wrapper, an item for
+    """(kind, key, host, place, pages, aligned, lines, headings, inner, least, most, optional, repeated): each host's wrapper, an item for
     each constant (t) and text slot (p by its beginning, h by its title's form, t also all but the first word).
 
-    ``place`` is the mean place of a constant in its wrapper, from 0 to 1. ``least`` and ``most`` are fillers: they differ
+    ``place`` is the mean place of a constant in its wrapper, from 0 to 1; ``aligned`` counts the pages that have it there. ``least`` and ``most`` are fillers: they differ
     where a mismatch was resolved into the slot. A large host is many chunks, so no task sees all of it.
     """
     own = segments.filter("not plain and host is not null")
@@ -313,7 +317,7 @@ def host_wrappers(segments: DataFrame) -> DataFrame:
     order = ["host", "chunk", "page", "block_no", "seg"]
     tokens = own.select("host", chunk, F.xxhash64("page_key").alias("page"), "block_no", "seg", F.col("heading").cast("int").alias("heading"), "t1", "t2", "p", "m", "h")
     items = tokens.repartition("host", "chunk").sortWithinPartitions(*order).mapInArrow(_folded, _ITEM)
-    sums = [F.sum(c).alias(c) for c in ("pages", "lines", "headings", "inner")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "aligned", "lines", "headings", "inner")]
     return items.groupBy("kind", "key", "host").agg(
         F.avg("place").alias("place"), *sums, F.min("least").alias("least"), F.max("most").alias("most"), F.max("optional").alias("optional"), F.max("repeated").alias("repeated")
     )
@@ -337,7 +341,7 @@ def site_wrappers(segments: DataFrame) -> DataFrame:
         .otherwise(F.col("headings") < HEADING * F.col("lines"))
     )
     everywhere = total.filter((F.col("sites") >= least) & kept).select("kind", "key", F.lit(None).cast("string").alias("host"))
-    own = counts.filter((F.col("kind") == "t") & (F.col("pages") >= LEAST_PAGES) & (F.col("headings") < HEADING * F.col("lines")))
+    own = counts.filter((F.col("kind") == "t") & ((F.col("pages") >= LEAST_PAGES) | (F.col("aligned") >= LEAST_ALIGNED)) & (F.col("headings") < HEADING * F.col("lines")))
     own = own.select("kind", "key", "host")
     return materialize(everywhere.unionByName(own))
 

@@ -237,6 +237,18 @@ def test_wrappers(spark):
     assert found == {f"page:p{i}" for i in range(200)}
 
 
+def test_place_in_wrapper(spark):
+    """On few pages, lines that keep their order are furniture; one that moves about them isn't."""
+    rows = []
+    for i, t in enumerate("river bridge market school garden tower museum harbour library station".split()):
+        lines = ["Home of the club", f"they rebuilt a {t} by night", "the desk is closed for a week"]
+        lines.insert(3 * (i % 2), "nobody knows where the river ends")
+        rows += [(f"p{i}-{o}", f"p{i}", o, "paragraph", x, "s") for o, x in enumerate(lines)]
+    streams = main_body.page_streams(spark.createDataFrame(rows, BLOCK), spark.createDataFrame([], SCRAPE))
+    got = {tuple(r) for r in main_body.furniture_blocks(streams).collect()}
+    assert got == {(f"page:{r[1]}", r[2]) for r in rows if r[4] in ("Home of the club", "the desk is closed for a week")}
+
+
 def test_letter_case(spark):
     rows = [(f"p{i}-0", f"p{i}", 0, "paragraph", "Published by Kelmo Tarvi for the town", "s") for i in range(15)]
     rows += [("q-0", "q", 0, "paragraph", "PUBLISHED BY KELMO TARVI FOR THE TOWN", "s"), ("r-0", "r", 0, "paragraph", "PUBLISHED BY KELMO TARVI FOR A FRIEND", "s")]
