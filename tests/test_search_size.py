@@ -1,6 +1,7 @@
 """The text search over tables whose pairs of query and text are too many to be written down."""
 
 import math
+import os
 import random
 import re
 
@@ -98,3 +99,16 @@ def test_query_shuffles_no_pairs(spark, tables, name):
     before = shuffled(spark)
     assert entry.queries()[name](spark, tables).count()
     assert (shuffled(spark) - before) / 1e6 < SHUFFLED[name]
+
+
+def on_disk(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return sum(os.path.getsize(f) for f in files.split("\n") if "shuffle_" in f and os.path.exists(f))
+
+
+def test_search_keeps_no_shuffle_files(spark, tables, monkeypatch):
+    monkeypatch.setattr(R, "QUERIES", 50)
+    before = on_disk(spark)
+    found = entry.queries()["search_blocks_topk"](spark, tables)
+    assert on_disk(spark) - before < 1e5  # they stayed until the driver collected its garbage
+    assert found.count() == 150 * 50
